@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,36 +60,48 @@ def _bits(base: Column) -> Column:
     return F.instr(F.lit(TWO_BITS), base) - 1
 
 
+def _scan(sequence: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The first symbol and, for each further one, what step(state, symbol) gives: a struct of a letter and the next state.
+
+    The text grows in pieces of 256 symbols, so its length is paid for about once and not once for each symbol.
+    """
+    first = F.substring(sequence, 1, 1)
+    start = F.struct(first.alias("text"), F.greatest(_bits(first), F.lit(0)).cast("int").alias("state"))
+    pieces = F.regexp_extract_all(F.substring(sequence, 2, 2147483647), F.lit("(?s).{1,256}"), 0)
+
+    def one(acc: Column, symbol: Column) -> Column:
+        nxt = step(acc["state"], symbol)
+        return F.struct(F.concat(acc["text"], nxt["letter"]).alias("text"), nxt["state"].alias("state"))
+
+    def piece(acc: Column, text: Column) -> Column:
+        inner = F.aggregate(chars(text), F.struct(F.lit("").alias("text"), acc["state"].alias("state")), one)
+        return F.element_at(F.transform(F.array(inner), lambda x: F.struct(F.concat(acc["text"], x["text"]).alias("text"), x["state"].alias("state"))), 1)
+
+    return F.when(F.length(sequence) == 0, sequence).otherwise(F.aggregate(pieces, start, piece, lambda acc: acc["text"]))
+
+
 def colors_to_bases(sequence: Column) -> Column:
     """A first base and colours as bases. A '.' gives N, after which the colours go on from the last base that is none."""
     letters = F.array(*[F.lit(c) for c in TWO_BITS])
-    start = F.struct(F.substring(sequence, 1, 1).alias("text"), F.greatest(_bits(F.substring(sequence, 1, 1)), F.lit(0)).cast("int").alias("state"))
 
-    def step(acc: Column, color: Column) -> Column:
-        state = F.when(color == ".", acc["state"]).otherwise(acc["state"].bitwiseXOR(color.cast("int")))
-        letter = F.when(color == ".", F.lit("N")).otherwise(F.element_at(letters, state + 1))
-        return F.struct(F.concat(acc["text"], letter).alias("text"), state.alias("state"))
+    def step(state: Column, color: Column) -> Column:
+        after = F.when(color == ".", state).otherwise(state.bitwiseXOR(color.cast("int")))
+        return F.struct(F.when(color == ".", F.lit("N")).otherwise(F.element_at(letters, after + 1)).alias("letter"), after.alias("state"))
 
-    colors = chars(F.substring(sequence, 2, 2147483647))
-    return F.when(F.length(sequence) == 0, sequence).otherwise(F.aggregate(colors, start, step, lambda acc: acc["text"]))
+    return _scan(sequence, step)
 
 
 def bases_to_colors(sequence: Column) -> Column:
     """The inverse: the first base stays, each further one is its colour against the last base that isn't N."""
-    start = F.struct(F.substring(sequence, 1, 1).alias("text"), F.greatest(_bits(F.substring(sequence, 1, 1)), F.lit(0)).cast("int").alias("state"))
 
-    def step(acc: Column, base: Column) -> Column:
+    def step(state: Column, base: Column) -> Column:
         known = _bits(base) >= 0
-        state = F.when(known, _bits(base)).otherwise(acc["state"]).cast("int")
-        color = F.when(known, acc["state"].bitwiseXOR(state).cast("string")).otherwise(F.lit("."))
-        return F.struct(F.concat(acc["text"], color).alias("text"), state.alias("state"))
+        after = F.when(known, _bits(base)).otherwise(state).cast("int")
+        return F.struct(F.when(known, state.bitwiseXOR(after).cast("string")).otherwise(F.lit(".")).alias("letter"), after.alias("state"))
 
-    rest = chars(F.substring(sequence, 2, 2147483647))
-    return F.when(F.length(sequence) == 0, sequence).otherwise(F.aggregate(rest, start, step, lambda acc: acc["text"]))
+    return _scan(sequence, step)
 
 
-def kmers_with_next(sequence: Column, k: int) -> Column:
-    """Every k + 1 symbols in a row: a context of k and the symbol that follows."""
-    n = F.length(sequence) - k
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(sequence, i, F.lit(k + 1)))
+def kmers_with_next(text: Column, k: int) -> Column:
+    """Every k + 1 symbols in a row: a context of k and the symbol that follows. One pass: a match takes no symbols."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k + 1}}}))"), 1)

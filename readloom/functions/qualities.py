@@ -56,8 +56,5 @@ def truncated_length(quality: Column, low: str = "#") -> Column:
 
 
 def quality_changes(quality: Column) -> Column:
-    """How often the symbol differs from the one before, the first symbol included."""
-    n = F.length(quality)
-    at = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    changes = F.size(F.filter(at, lambda i: F.substr(quality, i, F.lit(1)) != F.substr(quality, i - 1, F.lit(1))))
-    return F.when(n == 0, F.lit(0)).otherwise(changes + 1)
+    """How often the symbol differs from the one before, the first symbol included: what is left if each run is one symbol."""
+    return F.length(F.regexp_replace(quality, r"(?s)(.)\1+", "$1"))

@@ -129,11 +129,9 @@ def kmer_context_counts(reads: DataFrame, k: int = 3) -> DataFrame:
 
 def quality_context_counts(reads: DataFrame, k: int = 1, buckets: int = 8) -> DataFrame:
     """context, bucket, symbol, n: how often a quality follows k others, by the part of the read it stands in."""
-    n = F.length("quality")
-    starts = F.when(n > k, F.sequence(F.lit(1), n - k)).otherwise(F.array().cast("array<int>"))
-    cells = F.transform(starts, lambda i: F.struct(F.substr(F.col("quality"), i, F.lit(k + 1)).alias("g"), F.floor((i + k - 1) * buckets / n).cast("int").alias("bucket")))
-    one = reads.select(F.explode(cells).alias("x")).groupBy("x.g", "x.bucket").agg(F.count("*").alias("n"))
-    return one.select(F.substring("g", 1, k).alias("context"), "bucket", F.substring("g", k + 1, 1).alias("symbol"), "n")
+    one = reads.select(F.length("quality").alias("n"), F.posexplode(kmers_with_next(F.col("quality"), k)).alias("i", "g"))
+    counts = one.groupBy("g", F.floor((F.col("i") + k) * buckets / F.col("n")).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    return counts.select(F.substring("g", 1, k).alias("context"), "bucket", F.substring("g", k + 1, 1).alias("symbol"), "n")
 
 
 def stream_sizes(reads: DataFrame) -> DataFrame:

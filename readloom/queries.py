@@ -68,7 +68,7 @@ STATS = (
     READS
     + """, stats AS (SELECT block_id, count(*)::BIGINT AS records, min(length(quality))::INT AS min_length, max(length(quality))::INT AS max_length,
     sum(length(quality))::BIGINT AS raw_length, sum(greatest(length(rtrim(quality, '#')) - 1, 0))::BIGINT AS truncated_length,
-    sum(len(list_filter(range(1, length(quality) + 1), lambda i: i = 1 OR substr(quality, i, 1) <> substr(quality, i - 1, 1))) - (right(quality, 1) = '#')::INT)::BIGINT AS rle_length,
+    sum(len(list_filter(list_zip(string_split(quality, ''), list_prepend('', string_split(quality, ''))[:-2]), lambda x: x[1] <> x[2])) - (right(quality, 1) = '#')::INT)::BIGINT AS rle_length,
     min(length(quality)) <> max(length(quality)) AS variable_length, min(substr(sequence, 1, 1)) = max(substr(sequence, 1, 1)) AS constant_first
     FROM reads GROUP BY block_id)"""
 )
@@ -287,7 +287,7 @@ def run_length_by_symbol(spark, sf_dir):
     return R.run_lengths(R.quality_runs(D.bases(spark, sf_dir)))
 
 
-@query(f"WITH {BASES} SELECT block_id, q, count(*)::BIGINT AS n, sum(at)::BIGINT AS places FROM (SELECT block_id, q, row_number() OVER (PARTITION BY block_id ORDER BY read_id, pos) - 1 AS at FROM bases) GROUP BY ALL")
+@query(f"WITH {BASES} SELECT block_id, q, count(*)::BIGINT AS n, sum(place)::BIGINT AS places FROM (SELECT block_id, q, row_number() OVER (PARTITION BY block_id ORDER BY read_id, pos) - 1 AS place FROM bases) GROUP BY ALL")
 def run_expand(spark, sf_dir):
     """Runs, expanded again: each quality's count and places."""
     back = R.expand_runs(R.quality_runs(D.bases(spark, sf_dir)), "q", ["block_id"])
@@ -312,8 +312,8 @@ def colorspace_encode(spark, sf_dir):
 
 @query(f"WITH {READS} SELECT read_id, sequence FROM reads")
 def colorspace_decode(spark, sf_dir):
-    colored = X.bases_to_colors(F.col("sequence"))
-    return D.reads(spark, sf_dir).select("read_id", X.colors_to_bases(colored).alias("sequence"))
+    colored = D.reads(spark, sf_dir).select("read_id", X.bases_to_colors(F.col("sequence")).alias("colors"))
+    return colored.select("read_id", X.colors_to_bases(F.col("colors")).alias("sequence"))
 
 
 @query(f"WITH {COLORS} SELECT read_id, regexp_matches(substr(colors, 2, 1), '^[0-3.]$') AS is_color, substr(colors, 2) AS stripped FROM col")

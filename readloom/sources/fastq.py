@@ -16,19 +16,14 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-import readloom
 from readloom.errors import FormatError, OptionError
 from readloom.functions.tags import join_tag, plus_line
 
-#: The source travels to the workers by value, so they need no copy of this package.
-cloudpickle.register_pickle_by_value(readloom)
-
 SCHEMA = "block_id bigint, local_id bigint, name string, comment string, sequence string, quality string, plus string, corrupt string"
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 SPLIT_BYTES, BATCH_ROWS, READ_BYTES = 64 << 20, 8192, 1 << 20
