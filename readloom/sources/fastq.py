@@ -72,14 +72,14 @@ def lines(stream, at: int) -> Iterator[tuple[int, bytes]]:
             at += len(line)
 
 
-def records(stream, start: int, end: int) -> Iterator[tuple[list[bytes], bool]]:
-    """(lines, valid) of each record whose first line begins in start..end. stream stands at start or at the line before it.
+def records(stream, start: int, end: int, aligned: bool) -> Iterator[tuple[list[bytes], bool]]:
+    """(lines, valid) of each record whose first line begins before end. stream stands at start.
 
-    The line at an offset other than 0 is cut or belongs to the split before. A line that begins with '@' may be a quality:
+    Unless aligned, start is the last byte before a split: the line there is cut or belongs to the split before. A line that begins with '@' may be a quality:
     if the next line begins with '@', too, then that one is the header.
     """
     source = lines(stream, start)
-    if start:
+    if not aligned:
         next(source, None)
     window: list[tuple[int, bytes]] = []
 
@@ -90,7 +90,7 @@ def records(stream, start: int, end: int) -> Iterator[tuple[list[bytes], bool]]:
             window.append(x)
         return True
 
-    synced = start == 0
+    synced = aligned
     while True:
         while fill(1) and not window[0][1] and not synced:
             window.pop(0)
@@ -158,14 +158,14 @@ class FastqReader(DataSourceReader):
         where, _ = _open(self.path)
         with where.open_input_file(part.path) as f:
             if part.packed:
-                yield from self._batches(part, gzip.open(io.BufferedReader(f)), 0, 1 << 62)
+                yield from self._batches(part, gzip.open(io.BufferedReader(f)), 0, 1 << 62, True)
                 return
             # One byte earlier: if the split begins at a line's start, that byte ends the line before.
             begin = max(0, part.start - 1)
             f.seek(begin)
-            yield from self._batches(part, f, begin, part.end)
+            yield from self._batches(part, f, begin, part.end, part.start == 0)
 
-    def _batches(self, part: Split, stream, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    def _batches(self, part: Split, stream, start: int, end: int, aligned: bool) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int64()] + [pa.string()] * 6
@@ -175,7 +175,7 @@ class FastqReader(DataSourceReader):
             rows.clear()
             return batch
 
-        for i, (body, valid) in enumerate(records(stream, start, end)):
+        for i, (body, valid) in enumerate(records(stream, start, end, aligned)):
             text = [x.decode("latin-1") for x in body]
             if valid:
                 name, _, comment = text[0][1:].partition(" ")
