@@ -54,6 +54,14 @@ def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets, without making Python strings. Nulls have no bytes."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

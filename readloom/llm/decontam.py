@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import wordscan as ws
-from readloom.llm.common import broadcast, col_of, slices, text_bytes
+from readloom.llm.common import broadcast, col_of, free_name, slices, text_bytes
 
 TOLERANCE, TARGET, SAMPLED, MIN_WORDS, ITEMS_PER_PASS = 0.1, 0.99, 3, 8, 20_000
 MOST_REPEATS = 128
@@ -225,5 +225,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, t
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that leak an item. Rows with a null doc_id are told apart by their text."""
     marked = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    gone = leaks(marked, benchmark, **options).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = leaks(marked, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col(name), "left_anti")

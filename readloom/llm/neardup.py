@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import wordscan as ws
-from readloom.llm.common import col_of, slices, staged, text_bytes
+from readloom.llm.common import col_of, free_name, slices, staged, text_bytes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8 ** 4) ** 16 = 0.9998: the chance that two texts of similarity 0.8 share a band.
@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose class another document stands for; of rows with one doc_id one stays. Null ids stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), threshold).where("class_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs.select("doc_id", "text"), threshold).where("class_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

@@ -120,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with the column score: columns of docs must not have that name."""
+    """row (a struct of the columns of docs) and score."""
     shared = broadcast(docs.sparkSession, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
