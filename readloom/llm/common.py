@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, whatever Arrow batch they arrive in.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Stands for a null id inside an operator: it sorts before every other id.
 NULL_ID = -(2**63)
 
