@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms, fitted on labelled rows, scores whole texts.
 
-Terms are lower-cased words (runs of ASCII letters and digits and of bytes beyond ASCII), hashed to `BUCKETS` numbers. The terms
-that tell the classes apart best in the training rows become binary features; the machine adds a weight for each and a product
+Terms are lower-cased words (runs of ASCII letters and digits and of bytes beyond ASCII) and their first 4, 5 and 6 bytes, which
+stand for a stem whatever its ending, all hashed to `BUCKETS` numbers. The terms that tell the classes apart best in the training rows become binary features; the machine adds a weight for each and a product
 of learned vectors for each pair, so a pair such as an insult and a group can count for more than both alone.
 
 At most `max_rows` labelled rows, chosen by a hash of their id, are fitted on. Defined cases: a null or empty text has the
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from readloom.llm import wordscan as ws
 from readloom.llm.common import broadcast, col_of, slices, text_bytes
 
-BUCKETS, FEATURES, FACTORS, MAX_ROWS, FOLDS = 1 << 18, 2048, 8, 12_000, 5
+BUCKETS, FEATURES, FACTORS, MAX_ROWS, FOLDS = 1 << 20, 2048, 8, 12_000, 5
+STEMS = (4, 5, 6)
 
 
 @dataclass
@@ -47,7 +48,13 @@ def distinct_terms(column: pa.Array, feature: np.ndarray | None) -> tuple[np.nda
     """(row, term) of each distinct term of each text: its bucket, or its feature if there is one."""
     raw, at = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     w = ws.words(raw, at, normal=True)
-    term, doc = (w.hash % np.uint64(BUCKETS)).astype(np.int64), w.doc
+    hashes, docs = [w.hash], [w.doc]
+    for n in STEMS:
+        longer = w.end - w.start > n
+        start = w.start[longer]
+        hashes.append(ws.mix(ws.hashes(raw, start, start + n) ^ np.uint64(n)))
+        docs.append(w.doc[longer])
+    term, doc = (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(docs)
     if feature is not None:
         term = feature[term]
         doc, term = doc[term >= 0], term[term >= 0]
