@@ -406,6 +406,17 @@ def archive_roundtrip(spark, sf_dir):
     return read_archive(spark, path).select("read_id", "name", "comment", "sequence", "quality")
 
 
+@query(SAME_READS)
+def blockfile_roundtrip(spark, sf_dir):
+    """Reads written to a binary block archive and read again are the same reads in the same order."""
+    from readloom.sources.blockfile import read_blocks, write_blocks
+    from readloom.sources.fastq import with_read_ids
+
+    path = f"{scratch(spark)}/blocks-{uuid.uuid4().hex}"
+    write_blocks(D.reads(spark, sf_dir), path, D.OFFSET, 1 << 18)
+    return with_read_ids(read_blocks(spark, path)).select("read_id", "name", "comment", "sequence", "quality")
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that the driver and the executors share: spark.checkpoint.dir, or in local mode one of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
