@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import pickle
 import shutil
 import tempfile
@@ -82,6 +85,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system at the end of a task: a worker process lives on and shares its executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of at most `limit` bytes of text; one longer text is a piece of its own."""
     for batch in batches:
@@ -91,6 +102,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
             yield batch.slice(i, min(j, n) - i)
             i = j
+    give_back()
 
 
 def col_of(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import NULL_ID, col_of, id_key, slices, staged
@@ -81,9 +81,10 @@ def _repeats(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmaps(batches: Iterator[pa.RecordBatch], cut: bool) -> Iterator[pa.RecordBatch]:
+    """With cut, the texts lose the lines in the same pass: a second one would need Python workers of its own."""
     for batch in slices(batches):
-        n_lines, n_dropped, maps = [], [], []
+        n_lines, n_dropped, maps, texts = [], [], [], []
         for text, drops in zip(col_of(batch, "text").cast(pa.binary()).to_pylist(), col_of(batch, "drops").to_pylist()):
             n = (text or b"").count(b"\n") + 1
             gone = {i for part in drops or () for i in part}
@@ -93,21 +94,16 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_lines.append(n)
             n_dropped.append(len(gone))
             maps.append(zlib.compress(bytes(bits), 6))
-        keep = [i for i, f in enumerate(batch.schema) if f.name != "drops"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in keep] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(maps, pa.binary())],
-            names=[batch.schema[i].name for i in keep] + ["n_lines", "n_dropped", "keep_bitmap"],
-        )
+            if cut:
+                texts.append(kept_lines(text, maps[-1]))
+        text = pa.array(texts, pa.binary()).cast(pa.string()) if cut else col_of(batch, "text")
+        yield pa.RecordBatch.from_arrays([text, col_of(batch, "other"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(maps, pa.binary())], names=["text", "other", "n_lines", "n_dropped", "keep_bitmap"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        out = []
-        for text, bitmap in zip(col_of(batch, "text").cast(pa.binary()).to_pylist(), col_of(batch, "keep_bitmap").to_pylist()):
-            bits = zlib.decompress(bitmap)
-            out.append(b"\n".join(line for i, line in enumerate((text or b"").split(b"\n")) if bits[i >> 3] >> (i & 7) & 1).decode())
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type))
+def kept_lines(text: bytes | None, bitmap: bytes) -> bytes:
+    """The lines whose bit is set."""
+    bits = zlib.decompress(bitmap)
+    return b"\n".join(line for i, line in enumerate((text or b"").split(b"\n")) if bits[i >> 3] >> (i & 7) & 1)
 
 
 def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -123,28 +119,28 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return found.where("kind = 0").select("doc", "row", "at").unionByName(undecided.select("doc", "row", "at"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_dropped, keep_bitmap (zlib over little-endian bits, 1: the line stays).
-
-    With carry: `text`, `other` (a struct of all columns of docs but the text) and the three, for apply_bitmaps().
-    """
+def _marked(docs: DataFrame, other: Column, min_chars: int, min_docs: int, cut: bool) -> DataFrame:
     gone = frequent_lines(docs, min_chars, min_docs).groupBy("doc", "row").agg(F.collect_list("at").alias("drops"))
-    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]) if carry else F.struct("doc_id")
     rows = docs.select(F.col("text").cast("string").alias("text"), other.alias("other"), id_key().alias("doc"), F.xxhash64("text").alias("row"))
     marked = rows.join(gone, ["doc", "row"], "left").select("text", "other", "drops")
     kind = marked.schema["other"].dataType.simpleString()
-    out = marked.mapInArrow(_bitmaps, f"text string, other {kind}, n_lines long, n_dropped long, keep_bitmap binary")
-    return out if carry else out.select("other.doc_id", "n_lines", "n_dropped", "keep_bitmap")
+    return marked.mapInArrow(lambda it: _bitmaps(it, cut), f"text string, other {kind}, n_lines long, n_dropped long, keep_bitmap binary")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """One row for each row of docs: doc_id, n_lines, n_dropped, keep_bitmap (zlib over little-endian bits, 1: the line stays)."""
+    return _marked(docs, F.struct("doc_id"), min_chars, min_docs, False).select("other.doc_id", "n_lines", "n_dropped", "keep_bitmap")
 
 
-def apply_bitmaps(carried: DataFrame) -> DataFrame:
-    """The rows of keep_bitmaps(carry=True) with the text of the lines that stay."""
-    return carried.mapInArrow(_kept, carried.schema)
+def kept_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """text (with the lines that stay), other (a struct of the other columns of docs), n_lines, n_dropped, keep_bitmap."""
+    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return _marked(docs, other, min_chars, min_docs, True)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs, with its columns, without the repeated lines; n_chars, if there is such a column, follows the text."""
-    done = apply_bitmaps(keep_bitmaps(docs, min_chars, min_docs, carry=True))
+    done = kept_texts(docs, min_chars, min_docs)
     length = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     cols = [F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else length[c].alias(c) if c in length else F.col(f"other.`{c}`").alias(c) for c in docs.columns]
     return done.select(*cols)

@@ -119,7 +119,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Placement]
 class WordCache(dict):
     """The ids of " " + word as bytes. Only what stands between single spaces is kept by word, as no token crosses such a space."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, encoding):
         self.encoding = encoding

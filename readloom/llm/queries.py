@@ -27,7 +27,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = substring.remove_marked(substring.mark_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    marked = substring.kept_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
     return marked.select("other.doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
@@ -50,8 +50,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    carried = linededup.keep_bitmaps(table(spark, sf_dir, "documents"), carry=True)
-    return linededup.apply_bitmaps(carried).select("other.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    kept = linededup.kept_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("other.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op10_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

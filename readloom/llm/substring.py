@@ -154,7 +154,7 @@ def _spell(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le")
 
 
-def _located(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _located(batches: Iterator[pa.RecordBatch], window: int, cut: bool) -> Iterator[pa.RecordBatch]:
     """Each slice is a shard: its passages make one automaton, and its documents are streamed through it."""
     import ahocorasick
 
@@ -191,7 +191,10 @@ def _located(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         begin, end = edges[0::2], edges[1::2]
         owner = w.doc[begin] if len(begin) else begin
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array((x - w.first[owner]).astype(np.int32)) for x in (begin, end)], ["first", "end"]))
-        yield pa.RecordBatch.from_arrays([col_of(batch, "other"), col_of(batch, "text"), pa.array(np.diff(w.first)), lists], names=["other", "text", "n_words", "removed"])
+        text = col_of(batch, "text")
+        if cut:
+            text = pa.array([kept_words(t, x) for t, x in zip(text.cast(pa.binary()).to_pylist(), lists.to_pylist())], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([col_of(batch, "other"), text, pa.array(np.diff(w.first)), lists], names=["other", "text", "n_words", "removed"])
 
 
 def passages(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -215,8 +218,16 @@ def passages(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Dat
     return staged(parts.mapInArrow(_joined, PASSAGE), "passages")
 
 
-def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """text, other (a struct of the other columns of docs), n_words, removed: stretches first..end (exclusive) of words that go."""
+def kept_words(text: bytes | None, removed: list[dict]) -> bytes:
+    """The words outside the stretches, joined by one space."""
+    words = (text or b"").split()
+    for x in reversed(removed):
+        del words[x["first"] : x["end"]]
+    return b" ".join(words)
+
+
+def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, cut: bool = False) -> DataFrame:
+    """text (with cut: the words that stay), other (a struct of the other columns of docs), n_words, removed: stretches first..end (exclusive) of words that go."""
     other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(id_key().alias("doc"), F.col("text").cast("string").alias("text"), other.alias("other"))
     found = passages(rows, window, phrase)
@@ -229,26 +240,15 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     routed = found.join(texts, ["rep", "rs", "n"]).groupBy("doc").agg(F.collect_list(F.struct("rep", "passage")).alias("passages"))
     shards = rows.join(routed, "doc", "left")
     kind = rows.schema["other"].dataType.simpleString()
-    return shards.select("doc", "text", "other", "passages").mapInArrow(lambda it: _located(it, window), f"other {kind}, text string, n_words long, removed array<struct<first int, end int>>")
-
-
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        out = []
-        for text, removed in zip(col_of(batch, "text").cast(pa.binary()).to_pylist(), col_of(batch, "removed").to_pylist()):
-            words = (text or b"").split()
-            for x in reversed(removed):
-                del words[x["first"] : x["end"]]
-            out.append(b" ".join(words).decode())
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+    return shards.select("doc", "text", "other", "passages").mapInArrow(lambda it: _located(it, window, cut), f"other {kind}, text string, n_words long, removed array<struct<first int, end int>>")
 
 
-def remove_marked(marked: DataFrame) -> DataFrame:
-    """The rows of mark_repeats() with the words that stay, joined by one space, as text."""
-    return marked.mapInArrow(_kept, marked.schema)
+def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """mark_repeats() with the words that stay, joined by one space, as text: in the same pass over the documents."""
+    return mark_repeats(docs, window, cut=True)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, with its columns, without the repeated words."""
-    done = remove_marked(mark_repeats(docs, window))
+    done = kept_texts(docs, window)
     return done.select(*[F.col("text") if c == "text" else F.col(f"other.`{c}`").alias(c) for c in docs.columns])
