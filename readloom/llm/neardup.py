@@ -7,8 +7,10 @@ with the probability of their weighted Jaccard similarity, and a text throws abo
 
 Texts that agree on a band are compared with the smallest id of that bucket and, in buckets of more than two, with the smallest
 id of the finer bucket that also shares the next band. A pair counts as a link only if its exact weighted Jaccard similarity
-is at least `threshold`. Classes are the connected components of the links and of equal texts; a class is named by its smallest
-doc_id. No bucket is gathered anywhere and no pair list grows with the square of a bucket.
+is at least `threshold`. Where a bucket then still holds several connected components, all its pairs across components are
+compared, too, block of texts against block, so every two texts that share a band are compared or already in one class. Classes
+are the connected components of the links and of equal texts; a class is named by its smallest doc_id. No bucket is gathered
+anywhere and there are no lists of pairs, but the work on texts that share bands and are not similar grows with their square.
 
 Defined cases: a text without words (null included) is a class of its own; a null doc_id has a null class; rows with the same
 doc_id are one node of the graph, so their texts share a class; equal rows are equal texts; an empty table gives an empty one;
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import wordscan as ws
@@ -30,6 +32,8 @@ from readloom.llm.common import col_of, free_name, slices, staged, text_bytes
 SHINGLE, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8 ** 4) ** 16 = 0.9998: the chance that two texts of similarity 0.8 share a band.
 BANDS, ROWS = 16, 4
+#: A block of texts of a bucket is about so many texts and bytes at most.
+BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 20, 4096
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -107,7 +111,7 @@ def _keys(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
         doc, unit = elements(raw, at)
         keys = band_keys(signatures(doc, unit, batch.num_rows, bands * rows), bands, rows).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([col_of(batch, c) for c in ("doc", "h1", "h2")] + [lists], names=["doc", "h1", "h2", "keys"])
+        yield pa.RecordBatch.from_arrays([col_of(batch, c) for c in ("doc", "h1", "h2", "size")] + [lists], names=["doc", "h1", "h2", "size", "keys"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -124,13 +128,49 @@ def _similar(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([col_of(batch, c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs a > b to compare, of nodes (doc, keys)."""
+def _across(table: pa.Table, threshold: float) -> pa.Table:
+    """The pairs of roots that two texts of these, of one bucket, link. Pairs that share an earlier band are compared there."""
+    batch = table.combine_chunks().to_batches()[0]
+    n, key, root, side = batch.num_rows, *(col_of(batch, c).to_numpy() for c in ("key", "root", "side"))
+    keys = col_of(batch, "keys").flatten().to_numpy().reshape(n, -1)
+    open_pairs = np.triu(root[:, None] != root[None, :])
+    if side.any():
+        open_pairs &= side[:, None] != side[None, :]
+    for band in range(int(np.argmax(keys[0] == key[0]))):
+        open_pairs &= keys[:, band, None] != keys[None, :, band]
+    a, b = np.nonzero(open_pairs)
+    if len(a):
+        doc, unit = elements(*text_bytes(col_of(batch, "text")))
+        total = np.bincount(doc, minlength=n)
+        order = np.argsort(unit, kind="stable")
+        doc, unit = doc[order], unit[order]
+        first = np.concatenate([[True], unit[1:] != unit[:-1]])
+        number = np.cumsum(first) - 1
+        twice = np.bincount(number) > 1  # a unit of one text only is common to no two
+        doc, column = doc[twice[number]], (np.cumsum(twice) - 1)[number[twice[number]]]
+        common = np.zeros((n, n))
+        for c in range(0, int(twice.sum()), COLUMNS):
+            i, j = np.searchsorted(column, [c, c + COLUMNS])
+            has = np.zeros((n, COLUMNS), np.float32)
+            has[doc[i:j], column[i:j] - c] = 1
+            common += has @ has.T
+        good = common[a, b] >= threshold * (total[a] + total[b] - common[a, b])
+        a, b = a[good], b[good]
+    found = np.unique(np.stack([np.maximum(root[a], root[b]), np.minimum(root[a], root[b])]), axis=1)
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """doc, key, fine, lead and n (the size) of each bucket of more than one, of nodes (doc, keys)."""
     n = F.size("keys")
     finer = F.transform("keys", lambda x, i: F.struct(x.alias("key"), F.xxhash64(x, F.get("keys", (i + 1) % n)).alias("fine")))
     rows = nodes.select("doc", F.explode(finer).alias("x")).select("doc", "x.key", "x.fine")
     lead = rows.groupBy("key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    in_buckets = staged(rows.join(lead, "key"), "buckets")
+    return staged(rows.join(lead, "key"), "buckets")
+
+
+def candidates(in_buckets: DataFrame) -> DataFrame:
+    """Distinct pairs a > b to compare first, of buckets."""
     fine = in_buckets.where("n > 2").groupBy("fine").agg(F.min("doc").alias("lead2"), F.count("*").alias("m")).where("m > 1")
     first = in_buckets.select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     second = in_buckets.where("n > 2").join(fine, "fine").select(F.col("doc").alias("a"), F.col("lead2").alias("b"))
@@ -145,6 +185,40 @@ def links(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> Da
     return two.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar(it, threshold), "a long, b long")
 
 
+def links_across(docs: DataFrame, nodes: DataFrame, in_buckets: DataFrame, roots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of roots linked by texts that share a band, of nodes (doc, h1, h2, size, keys) and roots (node, root) so far.
+
+    A class with many texts in a bucket has blocks of its own; smaller ones share blocks. Two blocks of one class aren't compared.
+    """
+    members = in_buckets.where("n > 2").select("key", "doc").distinct().join(roots, F.col("doc") == F.col("node"), "left")
+    members = members.select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    members = members.join(several, "key").join(nodes, "doc").where(F.array_contains("keys", F.col("key")))
+    members = staged(members.select("key", "root", "doc", "h1", "h2", "size"), "mixed")
+
+    def parts() -> Column:
+        return F.greatest(F.ceil(F.sum("n") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).alias("parts")
+
+    sums = members.groupBy("key", "root").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    sums = sums.withColumn("own", (F.col("n") >= BLOCK_TEXTS) | (F.col("size") >= BLOCK_BYTES))
+    sums = sums.withColumn("class", F.when(F.col("own"), F.col("root")).otherwise(0))
+    counts = staged(sums.groupBy("key", "own", "class").agg(parts()), "blocks")
+    which = sums.select("key", "root", "own", "class").join(counts, ["key", "own", "class"])
+    part = F.pmod(F.xxhash64("doc", "h1", "h2"), F.col("parts"))
+    placed = members.join(which, ["key", "root"]).select("key", "root", "doc", "h1", "h2", F.struct("own", "class", part.alias("part")).alias("block"))
+    blocks = counts.select("key", "own", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("key", F.struct("own", "class", "part").alias("x"))
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "key").where("x <= y").where("NOT (x.own AND y.own AND x.class = y.class)")
+    sides = F.when(F.col("x") < F.col("y"), F.array("x", "y")).otherwise(F.array("x"))
+    ends = pairs.select("key", F.xxhash64("key", "x", "y").alias("pair"), F.posexplode(sides).alias("side", "block"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("2"), "text").alias("h2"), text.alias("text"))
+    wanted = members.select("doc", "h1", "h2").distinct()
+    held = texts.join(wanted, ["doc", "h1", "h2"], "left_semi").dropDuplicates(["doc", "h1", "h2"]).join(nodes.select("doc", "h1", "h2", "keys"), ["doc", "h1", "h2"])
+    rows = ends.join(placed, ["key", "block"]).join(held, ["doc", "h1", "h2"]).select("pair", "key", "side", "root", "keys", "text")
+    return rows.groupBy("pair").applyInArrow(lambda t: _across(t, threshold), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node connected with it. Large and small stars in turn."""
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -167,18 +241,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, class_id."""
     text = F.col("text").cast("string")
-    texts = docs.where("doc_id is not null").where(text.rlike(HAS_WORD)).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("2"), "text").alias("h2"), text.alias("text"))
-    signed = staged(texts.mapInArrow(lambda it: _keys(it, bands, rows), "doc long, h1 long, h2 long, keys array<long>"), "signatures")
+    texts = docs.where("doc_id is not null").where(text.rlike(HAS_WORD)).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("2"), "text").alias("h2"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
+    signed = staged(texts.mapInArrow(lambda it: _keys(it, bands, rows), "doc long, h1 long, h2 long, size long, keys array<long>"), "signatures")
     # Equal texts go on as their smallest id.
-    groups = signed.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"))
+    groups = signed.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.min_by("keys", "doc").alias("keys"))
     groups = staged(groups, "texts")
-    linked = links(docs, candidates(groups.select(F.col("rep").alias("doc"), "keys").distinct()), threshold)
+    nodes = groups.withColumnRenamed("rep", "doc")
+    in_buckets = buckets(nodes.select("doc", "keys").distinct())
+    linked = links(docs, candidates(in_buckets), threshold)
     # A doc_id with several texts ties their groups together.
     tied = signed.select("doc", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc", "rep")
     tied = staged(tied, "members")
     repeated = tied.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a > b").select("a", "b")
     roots = components(linked.union(repeated))
-    classes = tied.join(roots, tied["rep"] == roots["node"], "left").groupBy("doc").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
+    joined = components(links_across(docs, nodes, in_buckets, roots, threshold)).select(F.col("node").alias("root1"), F.col("root").alias("root2"))
+    first = tied.join(roots, tied["rep"] == roots["node"], "left").select("doc", F.coalesce("root", "rep").alias("root1"))
+    classes = first.join(joined, "root1", "left").groupBy("doc").agg(F.min(F.coalesce("root2", "root1")).alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

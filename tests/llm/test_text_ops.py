@@ -122,6 +122,35 @@ def test_near_dedup(spark, odd_texts, docs):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_near_dedup_links_texts_that_no_leader_is_similar_to(spark):
+    rng = random.Random(21)
+
+    def text(template, *tails):
+        return " ".join([template, *tails])
+
+    # 200 of 250 texts at a mutual 0.77; 50 pairs at 0.815 or 0.863 among them.
+    family, texts, want = words(rng, 158), {}, {}
+    for i in range(250):
+        texts[i] = text(family, words(rng, 23))
+    for i in range(50):
+        shared = words(rng, 5 if i % 2 else 10)
+        for j in (100 + i, 200 + i):
+            texts[j] = text(family, shared, words(rng, 18 if i % 2 else 13))
+            want[j] = 100 + i
+    # 90 texts at 0.96, and three of which each is similar to a single one of them that the leader is similar to, too.
+    close = words(rng, 158)
+    for i in range(90):
+        own = words(rng, 23 if i >= 87 else 3)
+        texts[1000 + i], want[1000 + i] = text(close, own), 1000
+        if i >= 87:
+            texts[2000 + i], want[2000 + i] = text(close, " ".join(own.split()[:10]), words(rng, 26)), 1000
+    a, b, c = (shingles(texts[i]) for i in (1000, 1087, 2087))
+    similar = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    assert similar(a, c) < 0.8 <= min(similar(a, b), similar(b, c))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, texts.items())).collect()}
+    assert got == {i: want.get(i, i) for i in texts}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 4, 200), rng.integers(0, 4, 200)
