@@ -7,7 +7,7 @@ distance; a repetition hashes a few sampled steps of one walk. Each length class
 edits allowed are found with the target recall. Only windows that could be leaks are embedded: those in which at most the
 allowed number of words are missing from the vocabulary of the class's items, which no leak fails.
 
-Items shorter than `min_words` words say too little to be searched for. There may be any number of items: they are indexed
+Items shorter than `min_words` words are searched for as they are: all of their words, in order, without an edit. There may be any number of items: they are indexed
 `items_per_pass` at a time, so an index has a proven bound, and each pass reads the documents once.
 
 Defined cases: null and empty texts and items hold nothing; null or repeated ids are carried along as they are, each row for
@@ -192,6 +192,29 @@ def find_leaks(w: ws.Words, n: int, items: list[np.ndarray], index: list[LengthC
     return [(doc, item, first, first + length - 1, d) for (doc, item), (d, first, length) in sorted(best.items())]
 
 
+def find_short(w: ws.Words, items: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """As find_leaks, for copies without an edit of items of few words."""
+    out = []
+    for n in sorted({len(a) for a in items}):
+        mine = np.array([i for i, a in enumerate(items) if len(a) == n])
+        text = np.concatenate([items[i] for i in mine])
+        keys = ws.grams(text, n)[::n]
+        by = np.argsort(keys, kind="stable")
+        mine, text, keys = mine[by], text.reshape(-1, n)[by], keys[by]
+        start = np.flatnonzero(ws.gram_starts(w, n))
+        here = ws.grams(w.hash, n)[start]
+        low = np.searchsorted(keys, here, "left")
+        times = np.searchsorted(keys, here, "right") - low
+        row = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())  # equal items have equal keys
+        start = np.repeat(start, times)
+        same = (w.hash[start[:, None] + np.arange(n)] == text[row]).all(1)
+        start, item = start[same], mine[row[same]]
+        pairs, at = np.unique(np.stack([w.doc[start], item]), axis=1, return_index=True)
+        first = start[at] - w.first[pairs[0]]
+        out += [(doc, i, a, a + n - 1, 0) for doc, i, a in zip(*pairs.tolist(), first.tolist())]
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, target: float = TARGET, min_words: int = MIN_WORDS, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """One row for each row of docs and item that it leaks: doc_id, item_id, first_word, last_word (from 0, inclusive), edits."""
     spark = docs.sparkSession
@@ -206,14 +229,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, t
         all_items = [(k, w.hash[w.first[j] : w.first[j + 1]]) for j, k in enumerate(got["item_id"])]
         kept = [(k, h) for k, h in all_items if len(h) >= min_words]
         ids, hashes = [k for k, _ in kept], [h for _, h in kept]
-        shared = broadcast(spark, (ids, hashes, build_index(hashes, tolerance, target)))
+        short = [(k, h) for k, h in all_items if 0 < len(h) < min_words]
+        shared = broadcast(spark, (ids, hashes, build_index(hashes, tolerance, target), [k for k, _ in short], [h for _, h in short]))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, hashes, index = shared()
+            ids, hashes, index, short_ids, short_hashes = shared()
             kinds = [pa.int64()] * 4 + [pa.int32()]
             for batch in slices(batches):
                 doc_ids = col_of(batch, "doc_id").to_pylist()
-                found = [(doc_ids[d], ids[i], a, b, e) for d, i, a, b, e in find_leaks(lowered_words(col_of(batch, "text")), batch.num_rows, hashes, index, tolerance)]
+                w = lowered_words(col_of(batch, "text"))
+                found = [(doc_ids[d], ids[i], a, b, e) for d, i, a, b, e in find_leaks(w, batch.num_rows, hashes, index, tolerance)]
+                found += [(doc_ids[d], short_ids[i], a, b, e) for d, i, a, b, e in find_short(w, short_hashes)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["doc_id", "item_id", "first_word", "last_word", "edits"])
 

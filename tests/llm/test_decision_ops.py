@@ -51,6 +51,13 @@ def test_decontamination(spark, odd_texts, docs):
     assert len({(r["doc_id"], r["item_id"]) for r in passes}) >= 0.95 * len(want)
 
 
+def test_short_items_are_found_as_exact_copies(spark):
+    bench = spark.createDataFrame([(1, "Who wrote the Divine Comedy?"), (2, "seven words make this a short one"), (3, "yes"), (4, "")], "item_id long, text string")
+    texts = [(10, "a b who wrote the divine comedy c who wrote the divine comedy"), (11, "who wrote divine comedy"), (12, "so: seven words, make this a short one"), (13, "who wrote the"), (14, "divine comedy. Yes"), (15, None)]
+    got = {tuple(r) for r in decontam.leaks(frame(spark, texts), bench).collect()}
+    assert got == {(10, 1, 2, 6, 0), (12, 2, 1, 7, 0), (14, 3, 2, 2, 0)}
+
+
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9), st.integers(1, 4))
 @settings(max_examples=200, deadline=None)
 def test_edit_distance(a, b, most):
