@@ -3,8 +3,9 @@
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, lower-cased. An item of n words is leaked by a document
 if some window of it is within ceil(tolerance * n) word edits of the item. The CGK walk reads a window word by word and moves
 on, or stays, by a random bit of the step and the word, so windows at a small edit distance give strings at a small Hamming
-distance; a repetition hashes a few sampled steps of one walk. Each length class repeats until simulated leaks with the most
-edits allowed are found with the target recall. Only windows that could be leaks are embedded: those in which at most the
+distance; a repetition hashes a few sampled steps of one walk. Each length class repeats until its own repetitions have found
+the target share of simulated leaks with the most edits allowed, each leak counted once, with half of the allowed losses to
+spare as the leaks are a sample; a class that `MOST_REPEATS` cuts below the target is logged as a warning. Only windows that could be leaks are embedded: those in which at most the
 allowed number of words are missing from the vocabulary of the class's items, which no leak fails.
 
 Items shorter than `min_words` words are searched for as they are: all of their words, in order, without an edit. There may be any number of items: they are indexed
@@ -16,6 +17,7 @@ itself; an empty table on either side gives no rows; other columns play no part.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ from readloom.llm import wordscan as ws
 from readloom.llm.common import broadcast, col_of, free_name, slices, text_bytes
 
 TOLERANCE, TARGET, SAMPLED, MIN_WORDS, ITEMS_PER_PASS = 0.1, 0.99, 3, 8, 20_000
-MOST_REPEATS = 128
+TRIALS, MOST_REPEATS = 1000, 128
 LEAKS = "doc_id long, item_id long, first_word long, last_word long, edits int"
 
 
@@ -98,27 +100,25 @@ def build_index(items: list[np.ndarray], tolerance: float, target: float, seed:
         starts = np.concatenate([[0], np.cumsum([len(items[i]) + 1 for i in mine])])[:-1]
         padded = np.concatenate([np.append(items[i], np.uint64(0)) for i in mine])
         reach = max(SAMPLED, int(1.5 * low))  # walks that long seldom leave the shortest item
-        # Simulated leaks with the most edits: how often does one repetition find them?
-        trials = [(items[i], _edited(items[i], edits, flat, rng)) for i in rng.choice(mine, 200)]
-        found, tries = 0, 0
-        for s in range(20):
-            steps = np.sort(rng.choice(reach, SAMPLED, replace=False))
-            for k in range(0, 200, 20):
-                part = trials[k : k + 20]
-                a, b = (np.concatenate([np.append(p[side], np.uint64(0)) for p in part]) for side in (0, 1))
-                at = [np.concatenate([[0], np.cumsum([len(p[side]) + 1 for p in part])])[:-1] for side in (0, 1)]
-                found += int((walk_keys(a, at[0], steps, s) == walk_keys(b, at[1], steps, s)).sum())
-                tries += len(part)
-        p = max(found / tries, 1e-9)
-        repeats = min(MOST_REPEATS, max(8, math.ceil(math.log(1 - target) / math.log(1 - p)) if p < 1 else 1))
+        # Simulated leaks with the most edits: which of them has no repetition found so far?
+        trials = [(items[i], _edited(items[i], edits, flat, rng)) for i in rng.choice(mine, TRIALS)]
+        both = [np.concatenate([np.append(p[side], np.uint64(0)) for p in trials]) for side in (0, 1)]
+        at = [np.concatenate([[0], np.cumsum([len(p[side]) + 1 for p in trials])])[:-1] for side in (0, 1)]
+        lost = np.ones(TRIALS, bool)
         c = LengthClass(low, edits, np.unique(flat), [], [], [])
-        for r in range(repeats):
+        for r in range(MOST_REPEATS):
             steps = np.sort(rng.choice(reach, SAMPLED, replace=False))
             keys = walk_keys(padded, starts, steps, r)
             by = np.argsort(keys, kind="stable")
             c.steps.append(steps)
             c.keys.append(keys[by])
             c.owners.append(np.array(mine)[by])
+            lost &= walk_keys(both[0], at[0], steps, r) != walk_keys(both[1], at[1], steps, r)
+            if r + 1 >= 8 and lost.sum() <= (1 - target) * TRIALS / 2:
+                break
+        else:
+            if lost.mean() > 1 - target:
+                logging.getLogger(__name__).warning("items of %d words or more: %d repetitions find %.3f of simulated leaks, not %.3f", low, MOST_REPEATS, 1 - lost.mean(), target)
         out.append(c)
     return out
 

@@ -58,6 +58,23 @@ def test_short_items_are_found_as_exact_copies(spark):
     assert got == {(10, 1, 2, 6, 0), (12, 2, 1, 7, 0), (14, 3, 2, 2, 0)}
 
 
+def test_each_length_class_finds_its_target_of_leaks(monkeypatch, caplog):
+    rng = random.Random(17)
+    texts = [words(rng, rng.randint(24, 30)) for _ in range(50)] + [words(rng, rng.randint(42, 50)) for _ in range(50)]
+    w = decontam.lowered_words(decontam.pa.array(texts))
+    items = [w.hash[w.first[i] : w.first[i + 1]] for i in range(100)]
+    index = decontam.build_index(items, 0.1, 0.99)
+    leaked = [edited(rng, texts[i % 100], decontam.allowed_edits(len(items[i % 100]), 0.1)) for i in range(3000)]
+    found = {(d, i) for d, i, *_ in decontam.find_leaks(decontam.lowered_words(decontam.pa.array(leaked)), 3000, items, index, 0.1)}
+    for side in (0, 1):
+        mine = [d for d in range(3000) if d % 100 // 50 == side]
+        assert sum((d, d % 100) in found for d in mine) >= 0.99 * len(mine)
+    assert not caplog.records
+    monkeypatch.setattr(decontam, "MOST_REPEATS", 9)
+    decontam.build_index(items, 0.1, 0.99)
+    assert "9 repetitions" in caplog.text
+
+
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9), st.integers(1, 4))
 @settings(max_examples=200, deadline=None)
 def test_edit_distance(a, b, most):
