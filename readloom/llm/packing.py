@@ -6,15 +6,19 @@ for runs of equal pieces and runs of equal bins: a segment tree over the remaini
 logarithmic time, and a whole run is placed at once. The plan's size depends on the capacity, not on the corpus; pieces find
 their place by their rank among the pieces of their length.
 
+Ids are those of the tokenizers library for the tokenizer's file. The library is asked for each distinct word once, as it splits
+a text before the last white space of a run in any case, and no token crosses such a place. A text with the literal of a special
+token is given to the library whole, so the literal is that token's id.
+
 Defined cases: a null or empty text is the separator alone; rows are packed each for itself, so equal rows and equal or null
 doc_ids are allowed; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
 
-import base64
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +37,7 @@ PIECES = "doc_id long, row_hash long, piece int, start long, length long, ids_le
 def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class TightestBin:
@@ -116,44 +120,74 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Placement]
     return out
 
 
+#: White space as the tokenizer's pattern has it, which is less than that of Python's own.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: All white space of a run but its last character; a word with the space before it; that last character where it is no space.
+UNITS = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
+BESIDE_SPACE = re.compile(f" [{SPACE}]|[{SPACE}] ")
+#: Up to here all versions of Unicode agree on what a letter is.
+SETTLED = "\u0250"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one of those from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordCache(dict):
-    """The ids of " " + word as bytes. Only what stands between single spaces is kept by word, as no token crosses such a space."""
+    """The ids, as bytes, of the units into which a byte-level tokenizer's pattern cuts every text.
 
-    LIMIT = 200_000
+    A new unit of settled letters is cut by the pattern here, and the library's model gives the ids of each part; any other unit
+    goes through the whole of the library.
+    """
 
-    def __init__(self, encoding):
-        self.encoding = encoding
+    LIMIT, LONGEST = 200_000, 64
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+    def __init__(self, path: str):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
 
-    def __missing__(self, word: str) -> bytes:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pattern = public_tokenizers.PATTERN.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
+        self.cut, self.letters, self.model = regex.compile(pattern).findall, byte_letters(), self.tokenizer.model
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def whole(self, part: str) -> bytes:
+        """The ids of what the pattern leaves whole."""
+        letters = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        if not (unit.isascii() or max(unit) < SETTLED):
+            out = self.ids(unit)
+        elif unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            out = self.whole(unit)
+        else:
+            parts = self.cut(unit)
+            out = self.whole(unit) if len(parts) == 1 else b"".join([self[p] for p in parts])
         if len(self) >= self.LIMIT:
             self.clear()
-        out = self.ids(" " + word)
-        if len(word) <= 64:
-            self[word] = out
+        if len(unit) <= self.LONGEST:
+            self[unit] = out
         return out
 
-    def encode(self, text: str, beside_space=re.compile(r" \s|\s ")) -> bytes:
-        if text[:1] == " " or text[-1:] == " " or beside_space.search(text):
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):
             return self.ids(text)
-        first, *rest = text.split(" ")
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
-
-
-def encoding(path: str):
-    """The byte-level BPE in the ranks file at `path`; its ids are those of the tokenizers file with the same vocabulary."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if text[:1] == " " or text[-1:] == " " or BESIDE_SPACE.search(text):
+            return b"".join(map(self.__getitem__, UNITS.findall(text)))
+        first, *rest = text.split(" ")  # the quicker way where every space has a word on either side
+        return self[first] + b"".join([self[" " + word] for word in rest])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int) -> Iterator[pa.RecordBatch]:
-    cache = WordCache(encoding(path))
+    cache = WordCache(path)
     end = np.array([separator], "<u4").tobytes()
     names = ["doc_id", "row_hash", "piece", "start", "length", "ids_le"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
