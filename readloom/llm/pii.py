@@ -1,13 +1,15 @@
 """Personal data: fixed patterns for four kinds, and bootstrapped contextual extraction of further identifiers.
 
 All of it is DataFrame functions. Positions come from splitting a text by a pattern: the pieces between the matches, with the
-matches, add up to offsets in code points. A pattern begins a match only where a match of the plain pattern can begin, and its
+matches, add up to offsets in code points, summed chunk by chunk so that the work is about linear in the matches. A pattern begins a match only where a match of the plain pattern can begin, and its
 repetitions give nothing back, so long runs of letters or digits cost linear time and no deep recursion.
 
-Bootstrapping: every word with a digit or an '@' is an instance, and the two words before it are a lexical pattern. Seeds are the
+Bootstrapping: every word with a digit or an '@' is an instance, and the two words before it, whatever they are, are a lexical
+pattern; the first two words of a text have none. Seeds are the
 instances inside spans of the four kinds and long hexadecimal strings. On the graph of patterns and instances a pattern's score
 is the mean score of its occurrences and an instance's score is the best of its patterns (a seed's stays 1), in `ROUNDS` rounds.
-Patterns of a high score and enough distinct seeds mark all their other instances as `secret`.
+Patterns of a high score and enough distinct seeds mark all their other instances of `MIN_SECRET` = 8 characters or more as
+`secret`; shorter ones never are.
 
 Defined cases: a null or empty text has no spans; rows are searched each for itself, and equal rows have equal spans; null and
 repeated doc_ids are carried along; an empty table gives an empty table; other columns play no part.
@@ -15,8 +17,11 @@ repeated doc_ids are carried along; an empty table gives an empty table; other c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from readloom.llm.common import staged
 
@@ -32,9 +37,45 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = (*PATTERNS, "secret")
 INSTANCE = r"(?<!\S)(?=\S*[0-9@])\S++"
+#: The two words before an instance, looked ahead to from the first of them, so that contexts may overlap.
+CONTEXT = r"(?<!\S)(?=(\S++\s++\S++)\s++(?=\S*[0-9@])\S)"
 SEED = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
-#: A pattern marks from this score on, with this many distinct seeds; a context is looked for in so many characters.
-ROUNDS, SCORE, SEEDS, CONTEXT_CHARS, MIN_SECRET = 3, 0.8, 3, 80, 8
+_EDGE = r"[^\p{L}\p{N}]"
+#: A pattern marks from this score on, with this many distinct seeds.
+ROUNDS, SCORE, SEEDS, MIN_SECRET = 3, 0.8, 3, 8
+#: Offsets are summed over so many matches at a time.
+CHUNK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each number of an array the sum of those before it: sums of chunks, then sums inside each chunk."""
+    none = F.array().cast("array<int>")
+
+    def running(numbers: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(numbers, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of(a: Column) -> Column:
+        # By index, as slice() goes through the whole array each time.
+        def chunk(i: Column) -> Column:
+            return F.transform(F.sequence(i * CHUNK, F.least((i + 1) * CHUNK, F.size(a)) - 1), lambda j: F.get(a, j))
+
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), chunk)
+
+        def with_totals(parts: Column) -> Column:
+            totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda x, y: x + y))
+            return F.flatten(F.zip_with(parts, running(totals, F.lit(0)), running))
+
+        return _let(chunks, with_totals)
+
+    return _let(lengths, lambda a: F.when(F.size(a) == 0, none).otherwise(of(a)))
 
 
 def _digits(text: Column) -> Column:
@@ -70,17 +111,14 @@ def accepted(kind: str, match: Column) -> Column:
 
 
 def located(matches: Column, gaps: Column) -> Column:
-    """start, end (code points, end exclusive), text and left (the piece before) of each match."""
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    none = F.array().cast("array<struct<start:int,end:int,text:string,left:string>>")
+    """start, end (code points, end exclusive) and text of each match. gaps: the pieces before the matches, and one after."""
+    sizes = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        left = F.substr(x["g"], F.greatest(F.length(x["g"]) - CONTEXT_CHARS + 1, F.lit(1)))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), left.alias("left")))).alias("spans"))
+    def spans(a: Column) -> Column:
+        before = sums_before(F.transform(a, lambda x: x["g"] + x["n"]))
+        return F.zip_with(a, before, lambda x, s: F.struct((s + x["g"]).alias("start"), (s + x["g"] + x["n"]).alias("end"), x["m"].alias("text")))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return _let(sizes, spans)
 
 
 def _found(df: DataFrame, name: str, pattern: str, hint: str | None) -> DataFrame:
@@ -106,23 +144,36 @@ def base_spans(df: DataFrame) -> DataFrame:
 
 
 def mentions(df: DataFrame) -> DataFrame:
-    """df, which has `text` and `base`, with the column mentions: pattern and instance (hashes), start, end, seed, inside."""
+    """df, which has `text`, with the column words: pattern and instance (hashes), start, end and hex of each instance in context."""
     df = _found(df, "words", INSTANCE, "[0-9@]")
-    edge = r"^[^\p{L}\p{N}]+"
+    contexts = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(CONTEXT), 1)).otherwise(F.array().cast("array<string>"))
+    # Only the first two words of a text lack a context, so what is missing is missing in front.
+    padded = _let(contexts, lambda c: F.concat(F.array_repeat(F.lit(""), F.size("words") - F.size(c)), c))
+
+    def mention(x: Column, context: Column) -> Column:
+        left = F.regexp_replace(x["text"], f"^{_EDGE}+", "")
+        core = F.regexp_replace(left, f"(?<!{_EDGE}){_EDGE}++$", "")
+        start = x["end"] - F.length(left)
+        pattern = F.when(context != "", F.xxhash64(F.lower(F.regexp_replace(context, r"\s+", " "))))
+        return F.struct(pattern.alias("pattern"), F.xxhash64(core).alias("instance"), start.alias("start"), (start + F.length(core)).alias("end"), core.rlike(SEED).alias("hex"))
 
-    def mention(x: Column) -> Column:
-        core = F.regexp_replace(F.regexp_replace(x["text"], edge, ""), r"[^\p{L}\p{N}]+$", "")
-        start = x["start"] + F.length(x["text"]) - F.length(F.regexp_replace(x["text"], edge, ""))
-        context = F.lower(F.regexp_extract(x["left"], r"(?<!\S)(\S+\s+\S+)\s+$", 1))
-        return F.struct(core.alias("core"), start.alias("start"), (start + F.length(core)).alias("end"), context.alias("context"))
+    found = F.filter(F.zip_with("words", padded, mention), lambda x: x["pattern"].isNotNull() & (x["end"] > x["start"]))
+    return df.withColumn("words", found)
 
-    df = df.withColumn("words", F.filter(F.transform("words", mention), lambda x: (F.length(x["core"]) > 0) & (F.length(x["context"]) > 0)))
 
-    def edge_of(x: Column) -> Column:
-        inside = F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        return F.struct(F.xxhash64(x["context"]).alias("pattern"), F.xxhash64(x["core"]).alias("instance"), x["start"].alias("start"), x["end"].alias("end"), (inside | x["core"].rlike(SEED)).alias("seed"), inside.alias("inside"))
+def placed(found: DataFrame) -> DataFrame:
+    """row, pattern, instance, start, end, inside (a span of `base` overlaps it) and seed of each mention in found (row, base, words).
 
-    return df.withColumn("mentions", F.transform("words", edge_of)).drop("words")
+    Spans at their starts and words at their ends are read in order, with the furthest end of a span so far.
+    """
+    words = found.select("row", (F.size("base") > 0).alias("near"), F.explode("words").alias("x")).select("row", "near", "x.*")
+    spans = found.where(F.size("words") > 0).select("row", F.explode("base").alias("b")).select("row", F.col("b.start").alias("at"), F.lit(1).alias("order"), F.col("b.end").alias("reach"))
+    events = words.where("near").withColumns({"at": F.col("end"), "order": F.lit(0)}).unionByName(spans, allowMissingColumns=True)
+    so_far = W.Window.partitionBy("row").orderBy("at", "order").rowsBetween(W.Window.unboundedPreceding, 0)
+    near = events.withColumn("furthest", F.max("reach").over(so_far)).where("reach is null").withColumn("inside", F.coalesce(F.col("furthest") > F.col("start"), F.lit(False)))
+    columns = ["row", "pattern", "instance", "start", "end", "hex", "inside"]
+    every = near.select(*columns).union(words.where("not near").withColumn("inside", F.lit(False)).select(*columns))
+    return every.withColumn("seed", F.col("inside") | F.col("hex"))
 
 
 def good_patterns(edges: DataFrame) -> DataFrame:
@@ -146,24 +197,24 @@ def written(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and added (arrays of start, kind number, end) for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row"), text.alias("text"))
-    found = staged(mentions(base_spans(rows)).select("doc_id", "row", "base", "mentions"), "spans")
-    flat = found.select("row", F.explode("mentions").alias("x")).select("row", "x.*")
+    rows = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    # Staged at once, so each row keeps its number.
+    found = staged(mentions(base_spans(rows)).select("doc_id", "row", "base", "words"), "spans")
+    flat = staged(placed(found), "mentions")
     edges = staged(flat.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.count("*").alias("n")), "graph")
     good = staged(good_patterns(edges), "patterns")
     new = flat.where(~F.col("inside")).where(F.col("end") - F.col("start") >= MIN_SECRET).join(good, "pattern")
-    added = new.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end")).alias("added"))
+    added = new.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end")).alias("added"))
     out = found.select("doc_id", "row", "base").join(added, "row", "left")
     return out.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans (all spans) for each row of docs."""
+    """doc_id, the number of base spans of each kind, base_sha256, spans (all spans) and n_secret (those added) for each row of docs."""
     found = find(docs)
 
     def count(number: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long")
 
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(PATTERNS)]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"))
-
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_secret"))

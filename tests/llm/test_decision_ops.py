@@ -235,6 +235,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(rows[i].startswith("secret:") for i in range(12))
 
 
+def test_contexts_are_whole_words_and_may_hold_identifiers(spark):
+    rng = random.Random(15)
+    long = " ".join(c * 70 for c in "pq")
+    seeds = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(10)]
+    texts = [(i, f"see {long}\n{h}") for i, h in enumerate(seeds[:5])] + [(10 + i, f"key 4711 of1\t{h} ok") for i, h in enumerate(seeds[5:])]
+    texts += [(50, f"see {long}  ABC-99-XYZ"), (51, "a key 4711 of1 QRS-77-TUV"), (52, "of1 KLM-55-NOP"), (53, f"see q{long} ABC-99-XYZ")]
+    rows = {r["doc_id"]: (r["spans"], r["n_secret"]) for r in pii.report(frame(spark, texts)).collect()}
+    assert rows[50] == (f"secret:{len(texts[10][1]) - 10}:{len(texts[10][1])}", 1) and rows[51] == ("secret:15:25", 1)
+    assert rows[52] == rows[53] == ("", 0)
+
+
+def test_a_long_text_of_identifiers(spark):
+    text = "mail joe7@x.org id A12B of 10.0.0.1 or +1 555 123 4567, " * 36_000
+    r = pii.report(spark.createDataFrame([(1, text), (1, text), (None, text[:100])], "doc_id long, text string")).collect()
+    assert [x["n_email"] for x in sorted(r, key=lambda x: x["n_email"])] == [2, 36_000, 36_000]
+    assert {x["spans"] for x in r if x["n_email"] > 2} == {plain_spans(text)}
+
+
 def test_licenses(spark, odd_texts, docs):
     rng = random.Random(14)
     texts, want = [], set()
