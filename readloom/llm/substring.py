@@ -8,8 +8,10 @@ window that covers it also starts, as a word sequence, in a document with a smal
 2. A run seen with the same words in a smaller document is confirmed whole. Where an anchor has several contexts, the first run
    of each context is compared window by window. Both give passages: (document, place, words) found at a place of a smaller one.
 3. The text of each passage is taken from the smaller document and sent to the shards of documents in which it was found. Each
-   shard compiles its passages into one automaton over word numbers and streams its documents through it; what the automaton
-   locates is removed. So nothing is removed on the strength of a hash alone.
+   shard compiles its passages into automata over word numbers and streams its documents through them; what an automaton
+   locates is removed. So nothing is removed on the strength of a hash alone. An automaton has a character for each word of its
+   passages, so there are several where the passages have more words than that. Long passages go in as parts that overlap by a
+   window less one word.
 
 Every group that is gathered belongs to one document, or to a bounded part of one; equal windows are only ever counted.
 
@@ -34,8 +36,10 @@ WINDOW, PHRASE = 50, 8
 REQUESTS = 500
 RUNS = "anchor long, ctx long, doc long, s int, n int"
 PASSAGE = "doc long, s int, n int, rep long, rs int"
-#: Word numbers become characters; the code points of surrogates are left out.
-FIRST_CHAR = 0xE000
+#: Word numbers become characters; the code points of surrogates are left out, and the first stands for words of no passage.
+FIRST_CHAR, MOST_WORDS = 0xE000, 1_000_000
+#: The library goes down an automaton by recursion, so what is added to it is no longer than this.
+LONGEST = 2_000
 
 
 def window_anchors(w: ws.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,22 +146,52 @@ def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["rep", "rs", "n", "passage"])
 
 
-def _codes(all_hashes: np.ndarray) -> np.ndarray:
-    """A character's code point for each distinct word of a shard, as many words as have one."""
-    distinct, codes = np.unique(all_hashes, return_inverse=True)
-    if len(distinct) > 0x110000 - FIRST_CHAR:
-        raise ValueError("a shard has more distinct words than there are characters")
-    return (codes + FIRST_CHAR).astype("<u4")
+def _batches_of(lengths: np.ndarray, window: int, most: int) -> list[list[tuple[int, int, int]]]:
+    """Stretches (passage, first word, end) that cover every window of the passages, in lists of at most `most` words."""
+    out: list[list[tuple[int, int, int]]] = []
+    room, longest = 0, min(most, max(LONGEST, 2 * window))
+    for i, n in enumerate(lengths.tolist()):
+        for a in range(0, max(1, n - window + 1), longest - window + 1):
+            b = min(n, a + longest)
+            if b - a > room:
+                out.append([])
+                room = most
+            out[-1].append((i, a, b))
+            room -= b - a
+            if b == n:
+                break
+    return out
 
 
 def _spell(codes: np.ndarray) -> str:
-    return codes.tobytes().decode("utf-32-le")
+    return (codes + FIRST_CHAR).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _located(batches: Iterator[pa.RecordBatch], window: int, cut: bool) -> Iterator[pa.RecordBatch]:
-    """Each slice is a shard: its passages make one automaton, and its documents are streamed through it."""
+def _covered(w: ws.Words, p: ws.Words, reps: list[int], ids: list[int], wanted: list[int], window: int, most: int) -> np.ndarray:
+    """For each word of w whether a passage that a smaller document has covers it. p: the passages, wanted: the texts to stream."""
     import ahocorasick
 
+    gone = np.zeros(len(w.hash) + 1, np.int64)
+    for stretches in _batches_of(np.diff(p.first), window, most):
+        own = [p.hash[p.first[i] + a : p.first[i] + b] for i, a, b in stretches]
+        known = np.unique(np.concatenate(own))
+        automaton = ahocorasick.Automaton()
+        for (i, _, _), h in zip(stretches, own):
+            word = _spell(np.searchsorted(known, h) + 1)
+            automaton.add_word(word, (min(reps[i], automaton.get(word, (reps[i],))[0]), len(word)))
+        automaton.make_automaton()
+        for t in wanted:
+            a, h = int(w.first[t]), w.hash[w.first[t] : w.first[t + 1]]
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            for end, (rep, n) in automaton.iter(_spell(np.where(known[at] == h, at + 1, 0))):
+                if rep < ids[t]:
+                    gone[a + end + 1 - n] += 1
+                    gone[a + end + 1] -= 1
+    return np.cumsum(gone)[: len(w.hash)] > 0
+
+
+def _located(batches: Iterator[pa.RecordBatch], window: int, cut: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """Each slice is a shard: its passages make the automata, and its documents are streamed through them."""
     for batch in slices(batches):
         w = ws.words(*text_bytes(col_of(batch, "text")))
         ids, patterns = col_of(batch, "doc").to_pylist(), col_of(batch, "passages").to_pylist()
@@ -165,23 +199,10 @@ def _located(batches: Iterator[pa.RecordBatch], window: int, cut: bool) -> Itera
         for own in patterns:
             for x in own or ():
                 least[x["passage"]] = min(x["rep"], least.get(x["passage"], x["rep"]))
-        gone = np.zeros(len(w.hash) + 1, np.int64)
+        covered = np.zeros(len(w.hash), bool)
         if least:
             p = ws.words(*text_bytes(pa.array(list(least), pa.binary())))
-            codes = _codes(np.concatenate([w.hash, p.hash]))
-            automaton = ahocorasick.Automaton()
-            for i, rep in enumerate(least.values()):
-                word = _spell(codes[len(w.hash) + p.first[i] : len(w.hash) + p.first[i + 1]])
-                automaton.add_word(word, (min(rep, automaton.get(word, (rep,))[0]), len(word)))
-            automaton.make_automaton()
-            for i, own in enumerate(patterns):
-                if own:
-                    a, b = int(w.first[i]), int(w.first[i + 1])
-                    for end, (rep, n) in automaton.iter(_spell(codes[a:b])):
-                        if rep < ids[i]:
-                            gone[a + end + 1 - n] += 1
-                            gone[a + end + 1] -= 1
-        covered = np.cumsum(gone)[: len(w.hash)] > 0
+            covered = _covered(w, p, list(least.values()), ids, [i for i, own in enumerate(patterns) if own], window, most)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])) != 0)
         # A stretch that goes on into the next text is cut there.
         cuts = w.first[1:-1]
@@ -206,13 +227,16 @@ def passages(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Dat
     recurring = runs.groupBy("anchor").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
     recurring = recurring.where("d0 < d1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"))
     again = staged(runs.join(recurring, "anchor"), "recurring")
-    # The first document of each context stands for it.
-    first = again.groupBy("anchor", "ctx").agg(F.min(F.struct("doc", "s")).alias("rep"))
+    # The first document of each context stands for it. What is joined with all runs or windows is staged, as a join whose other
+    # side is an aggregate of the same stage can't be split where one key has a large share of the rows.
+    first = staged(again.groupBy("anchor", "ctx").agg(F.min(F.struct("doc", "s")).alias("rep")), "contexts")
     known = again.join(first, ["anchor", "ctx"])
     whole = known.where("doc > rep.doc").select("doc", "s", "n", F.col("rep.doc").alias("rep"), F.col("rep.s").alias("rs"))
     single = known.where("mixed and doc = rep.doc and s = rep.s").groupBy("doc").agg(F.collect_list(F.struct("anchor", "s", "n")).alias("runs"))
     windows = rows.select("doc", "text").join(single, "doc").mapInArrow(lambda it: _windows(it, window), "anchor long, h long, doc long, s int")
+    windows = staged(windows, "windows")
     least = windows.groupBy("anchor", "h").agg(F.min(F.struct("doc", "s")).alias("rep"), F.max("doc").alias("last")).where("rep.doc < last")
+    least = staged(least.select("anchor", "h", "rep"), "first-windows")
     one = windows.join(least, ["anchor", "h"]).where("doc > rep.doc").select("doc", "s", F.lit(1).alias("n"), F.col("rep.doc").alias("rep"), F.col("rep.s").alias("rs"))
     parts = whole.union(one).groupBy("doc").agg(F.collect_list(F.struct("s", "n", "rep", "rs")).alias("parts"))
     return staged(parts.mapInArrow(_joined, PASSAGE), "passages")
@@ -226,8 +250,13 @@ def kept_words(text: bytes | None, removed: list[dict]) -> bytes:
     return b" ".join(words)
 
 
-def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, cut: bool = False) -> DataFrame:
-    """text (with cut: the words that stay), other (a struct of the other columns of docs), n_words, removed: stretches first..end (exclusive) of words that go."""
+def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, cut: bool = False, most: int = MOST_WORDS) -> DataFrame:
+    """text (with cut: the words that stay), other (a struct of the other columns of docs), n_words, removed: stretches first..end (exclusive) of words that go.
+
+    most: words of the passages of one automaton, over `window` and at most MOST_WORDS.
+    """
+    if not window <= most <= MOST_WORDS:
+        raise ValueError(f"an automaton has {window} to {MOST_WORDS} words")
     other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(id_key().alias("doc"), F.col("text").cast("string").alias("text"), other.alias("other"))
     found = passages(rows, window, phrase)
@@ -240,7 +269,7 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, cu
     routed = found.join(texts, ["rep", "rs", "n"]).groupBy("doc").agg(F.collect_list(F.struct("rep", "passage")).alias("passages"))
     shards = rows.join(routed, "doc", "left")
     kind = rows.schema["other"].dataType.simpleString()
-    return shards.select("doc", "text", "other", "passages").mapInArrow(lambda it: _located(it, window, cut), f"other {kind}, text string, n_words long, removed array<struct<first int, end int>>")
+    return shards.select("doc", "text", "other", "passages").mapInArrow(lambda it: _located(it, window, cut, most), f"other {kind}, text string, n_words long, removed array<struct<first int, end int>>")
 
 
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -95,6 +95,42 @@ def test_substring_dedup(spark, odd_texts, docs):
     assert substring.dedup_substrings(docs.where("false")).count() == 0
 
 
+def test_passages_of_more_words_than_an_automaton_has(spark, odd_texts, docs):
+    want = {r["other"]["doc_id"]: r["removed"] for r in substring.mark_repeats(docs).collect() if r["other"]["doc_id"] not in (41, 51)}
+    for most in (50, 57, 300):
+        got = substring.mark_repeats(docs, most=most).collect()
+        assert {r["other"]["doc_id"]: r["removed"] for r in got if r["other"]["doc_id"] not in (41, 51)} == want
+    assert substring._batches_of(np.array([120, 50, 70]), 50, 100) == [[(0, 0, 100)], [(0, 51, 120)], [(1, 0, 50)], [(2, 0, 70)]]
+    with pytest.raises(ValueError, match="words"):
+        substring.mark_repeats(docs, most=10)
+
+
+def test_all_documents_through_one_automaton_of_all_passages(spark, odd_texts, docs):
+    """Routing passages to the documents that have them removes what streaming all documents through all of them would."""
+    texts = [(key(d), (t or "").encode()) for d, t in odd_texts]
+    found = substring.passages(docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), "text")).collect()
+    w = substring.ws.words(*substring.text_bytes(substring.pa.array([t for _, t in texts], substring.pa.binary())))
+    split = {d: t.split() for d, t in texts if d not in (LEAST, 41, 51)} | {LEAST: texts[0][1].split()}
+    cut = [(r["rep"], b" ".join(split[r["rep"]][r["rs"] : r["rs"] + r["n"] + 49])) for r in found if r["rep"] in split]
+    p = substring.ws.words(*substring.text_bytes(substring.pa.array([x for _, x in cut], substring.pa.binary())))
+    covered = substring._covered(w, p, [r for r, _ in cut], [d for d, _ in texts], list(range(len(texts))), 50, substring.MOST_WORDS)
+    routed = {r["other"]["doc_id"]: sum(x["end"] - x["first"] for x in r["removed"]) for r in substring.mark_repeats(docs).collect()}
+    for i, (d, _) in enumerate(odd_texts):
+        if d not in (None, 41, 51):
+            assert covered[w.first[i] : w.first[i + 1]].sum() == routed[d]
+
+
+def test_a_text_of_three_million_distinct_words(spark):
+    text = " ".join(map(str, range(3_000_000)))
+    rows = spark.createDataFrame([(1, text), (2, text[: len(text) // 2]), (3, "x " + text[-900:] + " y")], "doc_id long, text string")
+    got = {r["other"]["doc_id"]: (r["text"], r["n_words"]) for r in substring.kept_texts(rows).collect()}
+    half = text[: len(text) // 2].split(" ")
+    # A number that is cut in the middle is another word.
+    assert got[1] == (text, 3_000_000) and got[2] == ("" if int(half[-1]) == len(half) - 1 else half[-1], len(half))
+    tail = text[-900:].split(" ")
+    assert got[3][0] == ("x " + ("" if tail[0] == str(3_000_000 - len(tail)) else tail[0] + " ") + "y")
+
+
 def shingles(t):
     w = (t or "").encode().split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
