@@ -1,5 +1,6 @@
 """Line dedup, substring dedup, near-dedup and packing against brute force on odd texts."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -156,7 +157,8 @@ def test_near_dedup(spark, odd_texts, docs):
     assert sorted((key(r["doc_id"]), key(r["class_id"])) for r in got) == sorted((key(d), key(find(d) if d is not None else None)) for d, _ in odd_texts)
     left = neardup.keep_one(docs)
     assert left.columns == docs.columns
-    assert Counter(r["doc_id"] for r in left.collect()) == Counter({d: 1 for d in ids if find(d) == d} | {None: 2})
+    # Both texts of 51 stay, and one of the two equal rows of 41.
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter({d: 1 for d in ids if find(d) == d} | {51: 2, None: 2})
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
@@ -189,14 +191,33 @@ def test_near_dedup_links_texts_that_no_leader_is_similar_to(spark):
     assert got == {i: want.get(i, i) for i in texts}
 
 
+def test_keep_one_goes_by_texts(spark):
+    rng = random.Random(31)
+    a, b = words(rng, 60), words(rng, 60)
+    texts = [(1, a), (1, b), (1, b), (2, b + " x"), (3, a), (None, a), (4, ""), (4, None), (4, "")]
+    for order in (texts, texts[::-1]):
+        left = neardup.keep_one(frame(spark, order)).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in left) == Counter({(1, a): 1, (1, b): 1, (None, a): 1, (4, ""): 2, (4, None): 1})
+    rows = [(1, a, "z"), (1, a, "y"), (1, a, "y")]
+    left = [neardup.keep_one(spark.createDataFrame(rows[i:] + rows[:i], "doc_id long, text string, key_doc string")).collect() for i in range(2)]
+    assert left[0] == left[1] and len(left[0]) == 1
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
-    a, b = rng.integers(0, 4, 200), rng.integers(0, 4, 200)
-    doc = np.concatenate([np.repeat(0, a.sum()), np.repeat(1, b.sum())])
-    unit = np.concatenate([1000 * e + u for w in (a, b) for e in range(200) for u in [np.arange(w[e])]]).astype(np.uint64)
-    s = neardup.signatures(doc, neardup.ws.mix(unit), 3, 4096)
-    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
-    assert not s[2].any()
+    for weights in (rng.integers(0, 4, (2, 200)), rng.exponential(0.5, (2, 200)), rng.pareto(1.0, (2, 200)) * 10):
+        doc, shingle = (x.ravel() for x in np.meshgrid(range(2), neardup.ws.mix(np.arange(200, dtype=np.uint64)), indexing="ij"))
+        weight = weights.ravel().astype(float)
+        some = weight > 0
+        s = neardup.signatures(doc[some], shingle[some], weight[some], 3, 4096)
+        assert abs((s[0] == s[1]).mean() - weights.min(0).sum() / weights.max(0).sum()) < 0.04
+        assert not s[2].any()
+
+
+def test_few_similar_pairs_agree_on_too_few_coordinates():
+    m = neardup.fewest_agreements(64, 0.8)
+    chance = [math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(65)]
+    assert sum(chance[:m]) <= 1e-6 < sum(chance[: m + 1]) and neardup.fewest_agreements(4, 0.8) == 0
 
 
 def test_components(spark):
