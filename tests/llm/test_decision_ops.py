@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,6 +118,43 @@ def test_toxicity(spark, odd_texts, docs):
     assert kept.columns == docs.columns and abs(kept.count() - sum(t == 0 for t in truth.values())) < 60
 
 
+def test_pairs_are_learned_that_weights_alone_miss(spark):
+    """The label is insult XOR group, so neither word alone says anything: without factors the machine can't tell."""
+    rng = random.Random(4)
+    texts, truth = [], {}
+    for i in range(1600):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = words(rng, 30).split()
+        w[5:5] = ["Blockhead"] * insult + ["martians"] * group
+        texts.append((i, " ".join(w)))
+        truth[i] = int(insult != group)
+    docs, labels = frame(spark, texts), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    share = {}
+    for factors in (0, toxicity.FACTORS):
+        m = toxicity.learn(docs, labels, factors=factors)
+        rows = toxicity.score(docs.where(toxicity.held_out()).select("doc_id", "text"), m).select("row.doc_id", "score").collect()
+        share[factors] = sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in rows) / len(rows)
+    assert share[toxicity.FACTORS] > 0.95 and share[0] < 0.65
+
+
+def test_pair_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(np.zeros(0), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
+    rows = [[0, 2, 5], [1], [], [0, 1, 2, 3, 4, 5]]
+    want = [0.3 + sum(m.weight[i] for i in r) + sum(m.vectors[a] @ m.vectors[b] for k, a in enumerate(r) for b in r[:k]) for r in rows]
+    got = m.logits(np.repeat(range(4), [len(r) for r in rows]), np.array([i for r in rows for i in r]), 4)
+    assert got == pytest.approx(want)
+
+
+def test_training_is_the_same_in_any_order_and_bounded(spark):
+    rng = random.Random(6)
+    texts = [(i // 2, words(rng, 20) + (" blockhead" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2 ^ 1) for i in range(200)], "doc_id long, toxic int")
+    a, b = (toxicity.learn(frame(spark, x), labels) for x in (texts, texts[::-1]))
+    assert (a.weight == b.weight).all() and (a.vectors == b.vectors).all()
+    assert (toxicity.learn(frame(spark, texts), labels, max_bytes=3000).feature >= 0).sum() < (a.feature >= 0).sum()
+
+
 def test_quality_statistics(spark, odd_texts, docs):
     more = odd_texts + [(80, "a\nb b\na\n \n \nA\n# $*"), (81, "x y z x y z x y z w v u t s r")]
     word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +186,34 @@ def test_cutoffs_are_safe(spark):
     assert sum(not r["kept"] for r in bad) >= 0.8 * len(bad)
 
 
+def test_the_error_holds_over_many_draws():
+    """The true loss of the chosen step is over max_loss in at most the promised share of draws, and a step is found in most."""
+    rng = np.random.default_rng(5)
+    loss = np.array([0.0, 0.0, 0.002, 0.005, 0.01, 0.019, 0.021, 0.03, 0.05, 0.1, 0.3, 1.0])
+    too_far, found = 0, 0
+    for _ in range(200):
+        n = int(rng.integers(250, 2500))
+        first = np.searchsorted(loss, rng.random(n), side="left")  # the step from which each good document is rejected
+        step = quality.strictest(n, [int((first <= i).sum()) for i in range(len(loss))], 0.05, 0.02)
+        found += step >= 2
+        too_far += step >= 0 and loss[step] > 0.02
+    assert too_far <= 10 + 2 * 10**0.5 and found >= 150
+    assert quality.strictest(180, [0] * 12, 0.025, 0.02) == -1 and quality.strictest(250, [0, 0, 9], 0.0125, 0.02) == 1
+
+
+def test_large_binomials():
+    assert quality.tail(10**9, 10**7, 0.02) == 0.0 and quality.tail(10**8, 2 * 10**6, 0.02) == pytest.approx(0.5, abs=1e-3)
+    assert quality.tail(10**8, 10**8 - 1, 0.02) == 1.0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no tables here")
+def test_every_language_of_the_tables_gets_a_step(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, labels).where("not base_failed").join(labels, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    by = {(r["lang"], r["quality"]): r["kept"] / r["n"] for r in rows}
+    assert all(by[x, 0] < 0.2 for x in ("en", "de", "es", "fr")) and all(by[x, 1] > 0.98 for x in ("en", "de", "es", "fr"))
+
+
 @given(st.integers(1, 60), st.integers(0, 60), st.floats(0.001, 0.5))
 @settings(max_examples=100, deadline=None)
 def test_binomial_tail(n, k, p):
