@@ -13,6 +13,7 @@ of fewer than five words is an error; an empty table gives no rows; other column
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from readloom.llm.common import broadcast, col_of, slices
 from readloom.llm.decontam import lowered_words
 
 SHINGLE, CONTAINMENT, ROWS, TARGET = 5, 0.8, 2, 0.999
+#: So many windows are signed at a time.
+WINDOWS = 4096
 FOUND = "doc_id long, license string, n_places int, first_word long, last_word long, containment double"
 
 #: Public license notices by their SPDX identifiers.
@@ -100,7 +103,8 @@ def find(w: ws.Words, index: Index) -> list[tuple[int, int, int, float]]:
         return []
     maybe = np.zeros(1 << 18, bool)
     maybe[index.shingles & np.uint64((1 << 18) - 1)] = True
-    some = np.flatnonzero(maybe[g & np.uint64((1 << 18) - 1)] & ws.gram_starts(w, SHINGLE))
+    within = ws.gram_starts(w, SHINGLE)
+    some = np.flatnonzero(maybe[g & np.uint64((1 << 18) - 1)] & within)
     some = some[np.isin(g[some], index.shingles)]
     out: list[tuple[int, int, int, float]] = []
     if not len(some):
@@ -112,16 +116,17 @@ def find(w: ws.Words, index: Index) -> list[tuple[int, int, int, float]]:
         # A window is cut by the ends of its text, so a start before it moves to its first word.
         ahead = np.minimum(start + m - 1, len(g) - 1)
         start = np.unique(np.maximum(start, np.where(w.doc[start] != w.doc[ahead], np.where(np.isin(start, some), start, w.first[w.doc[ahead]]), start)))
-        at = start[:, None] + np.arange(m)[None, :]
-        inside = at < len(g)
-        at = np.minimum(at, len(g) - 1)
-        inside &= (w.doc[at] == w.doc[start][:, None]) & ws.gram_starts(w, SHINGLE)[at]
-        window = np.where(inside, g[at], np.uint64(0))
-        for row, keys in zip(range(len(start)), band_hashes(window, index.bands, index.rows).tolist()):
-            for t in {t for key in keys for t in table.get(key, ())}:
-                held = np.isin(index.templates[t][2], window[row]).mean()
-                if held >= index.containment:
-                    out.append((int(w.doc[start[row]]), t, int(start[row] - w.first[w.doc[start[row]]]), float(held)))
+        for part in np.array_split(start, math.ceil(len(start) / WINDOWS)):  # a text of nothing but licenses has many
+            at = part[:, None] + np.arange(m)[None, :]
+            inside = at < len(g)
+            at = np.minimum(at, len(g) - 1)
+            inside &= (w.doc[at] == w.doc[part][:, None]) & within[at]
+            window = np.where(inside, g[at], np.uint64(0))
+            for row, keys in enumerate(band_hashes(window, index.bands, index.rows).tolist()):
+                for t in {t for key in keys for t in table.get(key, ())}:
+                    held = np.isin(index.templates[t][2], window[row]).mean()
+                    if held >= index.containment:
+                        out.append((int(w.doc[part[row]]), t, int(part[row] - w.first[w.doc[part[row]]]), float(held)))
     return out
 
 
@@ -141,12 +146,14 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containme
                 by.setdefault((doc, name), []).append((-held, first, n))
             found = []
             for (doc, name), places in sorted(by.items()):
-                taken: list[tuple[int, int]] = []
-                for _, first, n in sorted(places):
-                    if all(first >= b or first + n <= a for a, b in taken):
-                        taken.append((first, first + n))
-                held, first, n = min(places)
-                found.append((ids[doc], name, len(taken), first, first + n - 1, -held))
+                places.sort()
+                taken: list[int] = []  # starts and ends in turn, ascending
+                for _, first, n in places:
+                    i = bisect_right(taken, first)
+                    if i % 2 == 0 and (i == len(taken) or taken[i] >= first + n):
+                        taken[i:i] = [first, first + n]
+                held, first, n = places[0]
+                found.append((ids[doc], name, len(taken) // 2, first, first + n - 1, -held))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 

@@ -341,3 +341,39 @@ def test_licenses(spark, odd_texts, docs):
     assert licenses.scan(docs.where("false")).count() == 0
     with pytest.raises(ValueError, match="fewer than"):
         licenses.scan(docs, {"x": ["two words"]})
+
+
+def test_licenses_against_brute_force(monkeypatch):
+    """Every window of every text against every template, in texts made of words of templates: edits, cuts, repeats."""
+    rng = random.Random(16)
+    index = licenses.Index(licenses.TEMPLATES, licenses.CONTAINMENT, licenses.ROWS, licenses.TARGET)
+    own = [t.split() for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = []
+    for _ in range(150):
+        w = words(rng, rng.randint(0, 6)).split()
+        for _ in range(rng.randint(1, 3)):
+            t = list(rng.choice(own))
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                t[rng.randrange(len(t))] = "other"
+            w += t[rng.choice([0, 0, 0, 2]) :] + words(rng, rng.randint(0, 4)).split()
+        texts.append(" ".join(w))
+    w = licenses.lowered_words(decontam.pa.array(texts))
+    want = set()
+    for d in range(len(texts)):
+        h = w.hash[w.first[d] : w.first[d + 1]]
+        g = licenses.ws.grams(h, 5).tolist()
+        for t, (_, n, shingles) in enumerate(index.templates):
+            for a in range(len(h)):
+                held = sum(s in g[a : a + n - 4] for s in shingles.tolist()) / len(shingles)
+                if held >= licenses.CONTAINMENT:
+                    want.add((d, t, a))
+    found = {x[:3] for x in licenses.find(w, index)}
+    assert found <= want and len(found) >= 0.998 * len(want) and len(want) > 100
+    monkeypatch.setattr(licenses, "WINDOWS", 7)
+    assert {x[:3] for x in licenses.find(w, index)} == found
+
+
+def test_a_long_text_of_licenses(spark):
+    text = (licenses.TEMPLATES["MPL-2.0"][0] + "\n") * 15_000
+    rows = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r["license"], r["n_places"], r["first_word"]) for r in rows] == [("MPL-2.0", 15_000, 0)]
