@@ -5,11 +5,14 @@ if some window of it is within ceil(tolerance * n) word edits of the item. The C
 on, or stays, by a random bit of the step and the word, so windows at a small edit distance give strings at a small Hamming
 distance; a repetition hashes a few sampled steps of one walk. Each length class repeats until its own repetitions have found
 the target share of simulated leaks with the most edits allowed, each leak counted once, with half of the allowed losses to
-spare as the leaks are a sample; a class that `MOST_REPEATS` cuts below the target is logged as a warning. Only windows that could be leaks are embedded: those in which at most the
-allowed number of words are missing from the vocabulary of the class's items, which no leak fails.
+spare as the leaks are a sample. Only windows that could be leaks are embedded: those in which at most the allowed number of
+words are missing from the vocabulary of the class's items, which no leak fails.
 
-Items shorter than `min_words` words are searched for as they are: all of their words, in order, without an edit. There may be any number of items: they are indexed
-`items_per_pass` at a time, so an index has a proven bound, and each pass reads the documents once.
+An item of more than `LONG` words is searched for by parts of half as many to as many words: one of them has at most its share
+of the edits, so no leak lacks a part within the part's own tolerance, and repetitions stay few however long the item is. Where
+a part is found, the whole item is aligned with the text around it. Items shorter than `min_words` words are searched for as
+they are: all of their words, in order, without an edit. There may be any number of items: they are indexed `items_per_pass` or
+`bytes_per_pass` at a time, so an index has a proven bound (or holds one item), and each pass reads the documents once.
 
 Defined cases: null and empty texts and items hold nothing; null or repeated ids are carried along as they are, each row for
 itself; an empty table on either side gives no rows; other columns play no part.
@@ -17,7 +20,7 @@ itself; an empty table on either side gives no rows; other columns play no part.
 
 from __future__ import annotations
 
-import logging
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +35,7 @@ from readloom.llm import wordscan as ws
 from readloom.llm.common import broadcast, col_of, free_name, slices, text_bytes
 
 TOLERANCE, TARGET, SAMPLED, MIN_WORDS, ITEMS_PER_PASS = 0.1, 0.99, 3, 8, 20_000
-TRIALS, MOST_REPEATS = 1000, 128
+BYTES_PER_PASS, TRIALS, LONG = 32 << 20, 1000, 64
 LEAKS = "doc_id long, item_id long, first_word long, last_word long, edits int"
 
 
@@ -43,7 +46,13 @@ class LengthClass:
     vocabulary: np.ndarray
     steps: list[np.ndarray]  # of each repetition, ascending
     keys: list[np.ndarray]  # of each repetition, sorted
-    owners: list[np.ndarray]  # the items of these keys
+    owners: list[np.ndarray]  # the parts of these keys
+
+
+@dataclass
+class Index:
+    classes: list[LengthClass]
+    parts: list[tuple[int, int, np.ndarray]]  # item, first word there, word hashes
 
 
 def lowered_words(column: pa.Array) -> ws.Words:
@@ -87,26 +96,53 @@ def edit_distance(a: list, b: list, most: int) -> tuple[int, int]:
     return (d, row.index(d)) if d <= most else (far, 0)
 
 
-def build_index(items: list[np.ndarray], tolerance: float, target: float, seed: int = 7) -> list[LengthClass]:
-    """Items (their word hashes) by length, each class at most a quarter longer than its shortest item."""
-    rng, out = np.random.default_rng(seed), []
-    order = sorted(range(len(items)), key=lambda i: len(items[i]))
+def closest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(d, first, length): the stretch of b with the fewest word edits to a, the earliest and then the shortest of equals."""
+
+    def distances(x: np.ndarray, y: np.ndarray, free: bool) -> np.ndarray:
+        """The edits from x to each prefix of y; with free, to the best stretch that ends there."""
+        at = np.arange(len(y) + 1)
+        row = np.zeros(len(y) + 1, np.int64) if free else at.copy()
+        for word in x:
+            new = np.append(row[0] + 1, np.minimum(row[:-1] + (y != word), row[1:] + 1))
+            row = np.minimum.accumulate(new - at) + at  # an insertion after the best one so far
+        return row
+
+    from_start = distances(a[::-1], b[::-1], True)[::-1]
+    first = int(np.argmin(from_start))
+    prefix = distances(a, b[first : first + 2 * len(a)], False)
+    return int(from_start[first]), first, int(np.argmin(prefix))
+
+
+def parts_of(items: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
+    out = []
+    for i, h in enumerate(items):
+        cuts = np.linspace(0, len(h), math.ceil(len(h) / LONG) + 1).astype(int).tolist()
+        out += [(i, a, h[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def build_index(items: list[np.ndarray], tolerance: float, target: float, seed: int = 7) -> Index:
+    """The parts of items (their word hashes) by length, each class at most a quarter longer than its shortest part."""
+    rng, out = np.random.default_rng(seed), Index([], parts_of(items))
+    parts = [h for _, _, h in out.parts]
+    order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
     while order:
-        low = len(items[order[0]])
-        mine = [i for i in order if len(items[i]) <= 1.25 * low]
+        low = len(parts[order[0]])
+        mine = [i for i in order if len(parts[i]) <= 1.25 * low]
         order = order[len(mine) :]
-        edits = allowed_edits(len(items[mine[-1]]), tolerance)
-        flat = np.concatenate([items[i] for i in mine])
-        starts = np.concatenate([[0], np.cumsum([len(items[i]) + 1 for i in mine])])[:-1]
-        padded = np.concatenate([np.append(items[i], np.uint64(0)) for i in mine])
-        reach = max(SAMPLED, int(1.5 * low))  # walks that long seldom leave the shortest item
+        edits = allowed_edits(len(parts[mine[-1]]), tolerance)
+        flat = np.concatenate([parts[i] for i in mine])
+        starts = np.concatenate([[0], np.cumsum([len(parts[i]) + 1 for i in mine])])[:-1]
+        padded = np.concatenate([np.append(parts[i], np.uint64(0)) for i in mine])
+        reach = max(SAMPLED, int(1.5 * low))  # walks that long seldom leave the shortest part
         # Simulated leaks with the most edits: which of them has no repetition found so far?
-        trials = [(items[i], _edited(items[i], edits, flat, rng)) for i in rng.choice(mine, TRIALS)]
+        trials = [(parts[i], _edited(parts[i], edits, flat, rng)) for i in rng.choice(mine, TRIALS)]
         both = [np.concatenate([np.append(p[side], np.uint64(0)) for p in trials]) for side in (0, 1)]
         at = [np.concatenate([[0], np.cumsum([len(p[side]) + 1 for p in trials])])[:-1] for side in (0, 1)]
         lost = np.ones(TRIALS, bool)
         c = LengthClass(low, edits, np.unique(flat), [], [], [])
-        for r in range(MOST_REPEATS):
+        for r in itertools.count():
             steps = np.sort(rng.choice(reach, SAMPLED, replace=False))
             keys = walk_keys(padded, starts, steps, r)
             by = np.argsort(keys, kind="stable")
@@ -116,10 +152,7 @@ def build_index(items: list[np.ndarray], tolerance: float, target: float, seed:
             lost &= walk_keys(both[0], at[0], steps, r) != walk_keys(both[1], at[1], steps, r)
             if r + 1 >= 8 and lost.sum() <= (1 - target) * TRIALS / 2:
                 break
-        else:
-            if lost.mean() > 1 - target:
-                logging.getLogger(__name__).warning("items of %d words or more: %d repetitions find %.3f of simulated leaks, not %.3f", low, MOST_REPEATS, 1 - lost.mean(), target)
-        out.append(c)
+        out.classes.append(c)
     return out
 
 
@@ -158,13 +191,14 @@ def _with_cut(start: np.ndarray, w: ws.Words, foreign: np.ndarray, c: LengthClas
     return np.union1d(start, more)
 
 
-def find_leaks(w: ws.Words, n: int, items: list[np.ndarray], index: list[LengthClass], tolerance: float) -> list[tuple[int, int, int, int, int]]:
+def find_leaks(w: ws.Words, n: int, items: list[np.ndarray], index: Index, tolerance: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, last word, edits): for each text and item the closest window, the earliest of equals."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if not index or not len(w.hash):
+    aligned: set[tuple[int, int, int]] = set()  # text, item and where it would begin, by steps of the allowed edits
+    if not index.classes or not len(w.hash):
         return []
-    classes = known_in(w.hash, index)
-    for number, c in enumerate(index):
+    classes = known_in(w.hash, index.classes)
+    for number, c in enumerate(index.classes):
         foreign = np.zeros(len(w.hash) + c.low + 1, np.int32)  # past the end all words are foreign
         foreign[1 : len(w.hash) + 1] = (classes >> np.uint64(number)) & np.uint64(1) ^ np.uint64(1)
         foreign[len(w.hash) + 1 :] = 1
@@ -181,13 +215,25 @@ def find_leaks(w: ws.Words, n: int, items: list[np.ndarray], index: list[LengthC
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             for s, i, j in zip(start[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
                 tried.update((s, int(o)) for o in owners[i:j])
-        for s, item in tried:
-            doc, a = int(w.doc[s]), items[item]
-            k = allowed_edits(len(a), tolerance)
-            b = w.hash[s : min(s + len(a) + k, int(w.first[doc + 1]))]
+        for s, part in tried:
+            item, offset, a = index.parts[part]
+            doc, k = int(w.doc[s]), allowed_edits(len(a), tolerance)
+            begin, end = int(w.first[doc]), int(w.first[doc + 1])
+            b = w.hash[s : min(s + len(a) + k, end)]
             d, length = (0, len(a)) if len(b) >= len(a) and (b[: len(a)] == a).all() else edit_distance(a.tolist(), b.tolist(), k)
+            if d > k or not length:
+                continue
+            first, whole = s - begin, items[item]
+            if len(whole) > len(a):  # a part of an item: the whole of it may stand around it
+                k = allowed_edits(len(whole), tolerance)
+                cell = (first - offset) // (k + 1)
+                if (doc, item, cell) in aligned:
+                    continue
+                aligned.add((doc, item, cell))
+                low = max(0, cell * (k + 1) - k)
+                d, first, length = closest(whole, w.hash[begin + low : min(end, begin + (cell + 1) * (k + 1) + len(whole) + k)])
+                first += low
             if d <= k and length:
-                first = s - int(w.first[doc])
                 best[doc, item] = min(best.get((doc, item), (d, first, length)), (d, first, length))
     return [(doc, item, first, first + length - 1, d) for (doc, item), (d, first, length) in sorted(best.items())]
 
@@ -215,16 +261,17 @@ def find_short(w: ws.Words, items: list[np.ndarray]) -> list[tuple[int, int, int
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, target: float = TARGET, min_words: int = MIN_WORDS, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, target: float = TARGET, min_words: int = MIN_WORDS, items_per_pass: int = ITEMS_PER_PASS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """One row for each row of docs and item that it leaks: doc_id, item_id, first_word, last_word (from 0, inclusive), edits."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, math.ceil(items.count() / (0.9 * items_per_pass)))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, math.ceil(size["n"] / (0.9 * items_per_pass)), math.ceil(size["bytes"] / (0.9 * bytes_per_pass)))
     out = None
     for i in range(passes):
         mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        got = mine.toArrow().to_pydict()  # items_per_pass rows or so
+        got = mine.toArrow().to_pydict()  # items_per_pass rows and bytes_per_pass bytes or so
         w = lowered_words(pa.array(got["text"], pa.string()))
         all_items = [(k, w.hash[w.first[j] : w.first[j + 1]]) for j, k in enumerate(got["item_id"])]
         kept = [(k, h) for k, h in all_items if len(h) >= min_words]

@@ -43,7 +43,7 @@ def test_decontamination(spark, odd_texts, docs):
     got = decontam.leaks(frame(spark, odd_texts + leaked), bench).collect()
     found = {(r["doc_id"], r["item_id"]) for r in got}
     want = {(1000 + i, i) for i in range(40)}
-    assert found <= want and len(found) >= 0.95 * len(want) and {x for x in want if x[1] % 4 < 2} <= found
+    assert found <= want and len(found) >= 0.97 * len(want) and {x for x in want if x[1] % 4 < 2} <= found
     for r in got:
         assert r["edits"] <= decontam.allowed_edits(len(items[r["item_id"]][1].split()), 0.1) and r["first_word"] >= 58
     left = decontam.drop_leaked(frame(spark, odd_texts + leaked), bench)
@@ -60,7 +60,7 @@ def test_short_items_are_found_as_exact_copies(spark):
     assert got == {(10, 1, 2, 6, 0), (12, 2, 1, 7, 0), (14, 3, 2, 2, 0)}
 
 
-def test_each_length_class_finds_its_target_of_leaks(monkeypatch, caplog):
+def test_each_length_class_finds_its_target_of_leaks():
     rng = random.Random(17)
     texts = [words(rng, rng.randint(24, 30)) for _ in range(50)] + [words(rng, rng.randint(42, 50)) for _ in range(50)]
     w = decontam.lowered_words(decontam.pa.array(texts))
@@ -71,10 +71,40 @@ def test_each_length_class_finds_its_target_of_leaks(monkeypatch, caplog):
     for side in (0, 1):
         mine = [d for d in range(3000) if d % 100 // 50 == side]
         assert sum((d, d % 100) in found for d in mine) >= 0.99 * len(mine)
-    assert not caplog.records
-    monkeypatch.setattr(decontam, "MOST_REPEATS", 9)
-    decontam.build_index(items, 0.1, 0.99)
-    assert "9 repetitions" in caplog.text
+
+
+def test_long_items_are_found_by_their_parts():
+    rng = random.Random(18)
+    texts = [words(rng, n) for n in (65, 128, 129, 300, 1000, 2000)]
+    w = decontam.lowered_words(decontam.pa.array(texts))
+    items = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
+    index = decontam.build_index(items, 0.1, 0.99)
+    assert all(32 <= len(h) <= 64 for _, _, h in index.parts) and max(len(c.steps) for c in index.classes) < 40
+    near = [words(rng, 30) + " " + edited(rng, t, decontam.allowed_edits(len(t.split()), 0.1)) + " " + words(rng, 30) for t in texts for _ in range(5)]
+    far = [words(rng, 30) + " " + edited(rng, t, int(0.25 * len(t.split()))) + " " + words(rng, 30) for t in texts]
+    found = decontam.find_leaks(decontam.lowered_words(decontam.pa.array(near + far)), len(near + far), items, index, 0.1)
+    assert {(d, i) for d, i, *_ in found} == {(d, d // 5) for d in range(len(near))}
+    assert all(25 <= a <= 35 and e <= decontam.allowed_edits(len(items[i]), 0.1) for _, i, a, _, e in found)
+
+
+def test_leaks_against_brute_force():
+    """Every window of every text against every item: nothing else is found, and nearly all of it, with the same edits."""
+    rng = random.Random(19)
+    items_text = [words(rng, n) for n in (9, 15, 22, 40)]
+    texts = [words(rng, rng.randint(0, 20)) + " " + edited(rng, rng.choice(items_text), rng.randint(0, 5)) + " " + words(rng, rng.randint(0, 20)) for _ in range(60)]
+    w, v = decontam.lowered_words(decontam.pa.array(items_text)), decontam.lowered_words(decontam.pa.array(texts))
+    items = [w.hash[w.first[i] : w.first[i + 1]] for i in range(4)]
+    want = {}
+    for d in range(60):
+        h = v.hash[v.first[d] : v.first[d + 1]]
+        for i, a in enumerate(items):
+            edits = decontam.closest(a, h)[0]
+            assert edits == min((decontam.edit_distance(a.tolist(), h[s:].tolist(), len(a))[0] for s in range(len(h))), default=len(a))
+            if edits <= decontam.allowed_edits(len(a), 0.1):
+                want[d, i] = edits
+    found = {(d, i): e for d, i, _, _, e in decontam.find_leaks(v, 60, items, decontam.build_index(items, 0.1, 0.99), 0.1)}
+    assert set(found) <= set(want) and len(found) >= len(want) - 1 and len(want) > 20
+    assert all(e >= want[k] for k, e in found.items())
 
 
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9), st.integers(1, 4))
