@@ -217,13 +217,15 @@ def buckets(nodes: DataFrame) -> DataFrame:
     n = F.size("keys")
     finer = F.transform("keys", lambda x, i: F.struct(x.alias("key"), i.alias("band"), F.xxhash64(x, F.get("keys", (i + 1) % n)).alias("fine")))
     rows = nodes.select("node", F.explode(finer).alias("x")).select("node", "x.key", "x.band", "x.fine")
-    lead = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    # Staged, as a join with an aggregate of the same stage can't be split where a bucket has a large share of the rows.
+    lead = staged(rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
     return staged(rows.join(lead, "key"), "buckets")
 
 
 def candidates(in_buckets: DataFrame) -> DataFrame:
     """Distinct pairs a > b to compare first, of buckets."""
-    fine = in_buckets.where("n > 2").groupBy("fine").agg(F.min("node").alias("lead2"), F.count("*").alias("m")).where("m > 1")
+    fine = in_buckets.where("n > 2").groupBy("fine").agg(F.min("node").alias("lead2"), F.count("*").alias("m")).where("m > 1").select("fine", "lead2")
+    fine = staged(fine, "fine-leads")
     first = in_buckets.select(F.col("node").alias("a"), F.col("lead").alias("b"))
     second = in_buckets.where("n > 2").join(fine, "fine").select(F.col("node").alias("a"), F.col("lead2").alias("b"))
     return first.union(second).where("a > b").distinct()
@@ -256,7 +258,7 @@ def links_across(texts: DataFrame, nodes: DataFrame, in_buckets: DataFrame, root
     """
     members = in_buckets.where("n > 2").select("key", "band", "node").join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = staged(members.join(several, "key").join(nodes.select("node", "size"), "node"), "mixed")
+    members = staged(members.join(staged(several, "several-roots"), "key").join(nodes.select("node", "size"), "node"), "mixed")
 
     def parts() -> Column:
         return F.greatest(F.ceil(F.sum("n") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).alias("parts")
