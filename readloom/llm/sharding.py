@@ -20,9 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from readloom.llm.common import free_name
+
 SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 40, 2, 4
 #: Slots are counted inside this many buckets of each shard.
 BUCKETS = 1024
+#: A table of up to so many rows is sent to all executors.
+MOST_SENT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -72,15 +76,16 @@ def descend(key: Column, tree: Node) -> Column:
     return F.get(F.array(*[F.lit(node.shard) for node in level]), at)
 
 
-def slots(df: DataFrame, shard: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """df with `slot`: gapless from 0 in each shard. Rows are numbered in buckets, which then move up by the counts before."""
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = cut.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = W.Window.partitionBy(shard).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    base = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # `buckets` rows for each shard
-    local = F.row_number().over(W.Window.partitionBy(shard, "_bucket").orderBy(*order)) - 1
-    numbered = cut.withColumn("_local", local).join(F.broadcast(base), [shard, "_bucket"])
-    return numbered.withColumn("slot", (F.col("_base") + F.col("_local")).cast("long")).drop("_bucket", "_local", "_base")
+def slots(df: DataFrame, shard: str, order: list[str], shards: int, buckets: int = BUCKETS) -> DataFrame:
+    """df with `slot`: gapless from 0 in each of the `shards` shards. Rows are numbered in buckets, which then move up by the counts before."""
+    bucket, n, base, local = (free_name(df, c) for c in ("bucket", "n", "base", "local"))
+    cut = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = cut.groupBy(shard, bucket).agg(F.count("*").alias(n))
+    before = W.Window.partitionBy(shard).orderBy(bucket).rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = counts.select(shard, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))  # `buckets` rows for each shard
+    bases = F.broadcast(bases) if shards * buckets <= MOST_SENT else bases
+    numbered = cut.withColumn(local, F.row_number().over(W.Window.partitionBy(shard, bucket).orderBy(*order)) - 1).join(bases, [shard, bucket])
+    return numbered.select("*", (F.col(base) + F.col(local)).cast("long").alias("slot")).drop(bucket, local, base)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -89,5 +94,5 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.col("doc_id")
     placed = rows.withColumn("shard", descend(key, topology(shards))).withColumn("grown_shard", descend(key, topology(shards + 1, base=shards)))
-    out = slots(placed, "shard", ["doc_id", "text_crc32", "size"])
+    out = slots(placed, "shard", ["doc_id", "text_crc32", "size"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -269,6 +269,28 @@ def test_sharding(spark, odd_texts, docs):
     assert 0.015 < moved < 0.035
 
 
+def test_a_descent_in_plain_python(spark):
+    """The same draws, taken one level at a time in Python from Spark's hashes of names and keys."""
+    tree = sharding.topology(13, base=11, racks=2, per_rack=3)
+    names, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        names += [c.name for c in node.children]
+        stack += node.children
+    keys = list(range(300)) + [None]
+    pairs = spark.createDataFrame([(n, k) for n in names for k in keys], "name string, key long")
+    hashes = {(r["name"], r["key"]): r["h"] for r in pairs.select("name", "key", F.xxhash64("name", "key").alias("h")).collect()}
+
+    def descend(key):
+        node = tree
+        while node.shard is None:
+            node = min(node.children, key=lambda c: -math.log((((hashes[c.name, key] % 2**64) >> 11) + 0.5) / 2**53) / c.weight)
+        return node.shard
+
+    rows = spark.createDataFrame([(k,) for k in keys], "key long").select("key", sharding.descend(F.col("key"), tree).alias("shard")).collect()
+    assert {r["key"]: r["shard"] for r in rows} == {k: descend(k) for k in keys} and len({r["shard"] for r in rows}) == 13
+
+
 def test_reweighting_moves_rows_of_changed_subtrees_only(spark):
     def tree(w):
         return sharding.parent("root", [sharding.parent(f"r{i}", [sharding.parent(f"r{i}k{j}", [sharding.leaf(4 * i + 2 * j + s, w if (i, j, s) == (1, 0, 1) else 1.0) for s in range(2)]) for j in range(2)]) for i in range(3)])
