@@ -18,13 +18,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from readloom.llm.common import NULL_ID, col_of, id_key, slices, staged
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\v\f\r"
+#: So many undecided rows of a key are held before they are put aside.
+MOST_HELD = 10_000
 KEYS = "h1 long, h2 long, doc long, row long, at array<int>"
-FOUND = f"kind int, {KEYS}, docs int, largest long"
+FOUND = f"kind int, {KEYS}, docs int, largest long, smallest long"
 
 
 def line_key(line: bytes) -> bytes:
@@ -48,32 +51,35 @@ def _keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Reco
 def _repeats(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """One range of the sorted keys, largest document first. kind 0: these lines go. A key at an end of the range may go on in
     the next one, so its undecided rows (kind 1: of its first document here, or of all if they are fewer than min_docs) wait
-    for the sum of its parts (kind 2)."""
-    schema = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.list_(pa.int32())), ("docs", pa.int32()), ("largest", pa.int64())])
+    for the sum of its parts (kind 2). So do those of a key of which more than MOST_HELD rows, of few documents, are undecided."""
+    schema = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.list_(pa.int32())), ("docs", pa.int32()), ("largest", pa.int64()), ("smallest", pa.int64())])
     out: list = []
-    key, first_run, docs, last, largest, held = None, True, 0, None, None, []
+    key, waits, docs, last, largest, held = None, True, 0, None, None, []
 
     def close(edge: bool) -> None:
         if key is not None and edge:
-            out.extend((1, *r, None, None) for r in held)
-            out.append((2, *key, None, None, None, docs, largest))
+            out.extend((1, *r, None, None, None) for r in held)
+            out.append((2, *key, None, None, None, docs, largest, last))
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:2] != key:
-                close(first_run)
-                first_run = key is None
+                close(waits)
+                waits = key is None
                 key, docs, last, largest, held = row[:2], 0, None, row[2], []
             if docs == 0 or row[2] != last:
                 docs, last = docs + 1, row[2]
                 if docs == min_docs:  # from here on the key is known to be frequent
-                    out.extend((0, *r, None, None) for r in held if r[2] != largest)
+                    out.extend((0, *r, None, None, None) for r in held if r[2] != largest)
                     held = [r for r in held if r[2] == largest]
             if docs >= min_docs and row[2] != largest:
-                out.append((0, *row, None, None))
+                out.append((0, *row, None, None, None))
             else:
                 held.append(row)
-        if out:
+                if len(held) > MOST_HELD:
+                    out.extend((1, *r, None, None, None) for r in held)
+                    waits, held = True, []
+        if len(out) >= MOST_HELD:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
             out = []
     close(True)
@@ -113,9 +119,12 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     # The range covers the document as well, so one key of a third of all rows is spread over many tasks.
     dealt = keys.repartitionByRange("h1", "h2", F.desc("doc"), "row").sortWithinPartitions("h1", "h2", F.desc("doc"), "row")
     found = staged(dealt.mapInArrow(lambda it: _repeats(it, min_docs), FOUND), "line-runs")
-    # At most two keys for each range: as many rows as twice the number of partitions.
-    ends = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("largest").alias("top")).where(F.col("n") >= min_docs)
-    undecided = found.where("kind = 1").join(F.broadcast(ends), ["h1", "h2"]).where("doc < top")
+    # At most two keys for each range, and those of more than MOST_HELD undecided rows.
+    parts = found.where("kind = 2")
+    # A document of several rows may be the last of one range and the first of the next.
+    again = F.lag("smallest").over(W.Window.partitionBy("h1", "h2").orderBy(F.desc("largest"), F.desc("smallest"))).eqNullSafe(F.col("largest"))
+    ends = parts.withColumn("docs", F.col("docs") - again.cast("int")).groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("largest").alias("top")).where(F.col("n") >= min_docs)
+    undecided = found.where("kind = 1").join(staged(ends, "line-ends"), ["h1", "h2"]).where("doc < top")
     return found.where("kind = 0").select("doc", "row", "at").unionByName(undecided.select("doc", "row", "at"))
 
 
