@@ -1,6 +1,7 @@
 """FASTQ text and archives."""
 
 import gzip
+import io
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from readloom.cli import to_archive, to_fastq
 from readloom.errors import FormatError, OptionError
 from readloom.options import DatasetType, FieldMask, Settings
 from readloom.sources import archive_to_fastq, fastq_to_archive, read_archive, read_fastq, verify_archive, with_read_ids, write_archive, write_fastq
-from readloom.sources.fastq import records
+from readloom.sources.fastq import first_record, records
 from tests.test_functions import R1, SCHEMA
 
 TEXT = "".join(f"@{n}{' ' + c if c else ''}\n{s}\n+\n{q}\n" for _, _, n, c, s, q in R1)
@@ -39,19 +40,68 @@ def test_splits(spark, tmp_path, size):
     assert rows_of(read_fastq(spark, str(path), split_bytes=size)) == WANT
 
 
-@given(st.lists(st.tuples(st.text("ACGT", min_size=1, max_size=6), st.integers(0, 99)), min_size=1, max_size=12), st.integers(1, 40))
-@settings(max_examples=60, deadline=None)
-def test_any_split_gives_each_record_once(reads, size):
-    import io
+SYMBOLS = st.characters(min_codepoint=33, max_codepoint=126)
+
 
-    # Qualities that begin with '@' are the hard case.
-    body = "".join(f"@r{i}\n{s}\n+\n{('@' + 'I' * len(s))[: len(s)]}\n" for i, (s, _) in enumerate(reads)).encode()
-    got = []
+def of_splits(body: bytes, size: int) -> list:
+    out = []
     for a in range(0, len(body), size):
-        stream = io.BytesIO(body)
-        stream.seek(max(0, a - 1))
-        got += [x[0] for x, ok in records(stream, max(0, a - 1), min(len(body), a + size), a == 0) if ok]
-    assert got == [f"@r{i}".encode() for i in range(len(reads))]
+        stream, at = io.BytesIO(body), 0
+        if a:
+            stream.seek(a - 1)
+            at = first_record(stream, a, min(len(body), a + size))
+        if at is not None:
+            stream.seek(at)
+            out += list(records(stream, at, min(len(body), a + size)))
+    return out
+
+
+@given(st.lists(st.tuples(st.text("ACGTN", max_size=6), st.text(SYMBOLS, min_size=6, max_size=6), st.sampled_from("@>+I")), min_size=1, max_size=8), st.sampled_from(["\n", "\r\n"]), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_any_split_gives_each_record_once(reads, end, last_end):
+    """Whatever symbol a quality begins with, and for every split size."""
+    want = [[f"@r{i}".encode(), s.encode(), b"+", (first + q)[: len(s)].encode()] for i, (s, q, first) in enumerate(reads)]
+    body = b"".join(line + end.encode() for record in want for line in record)
+    body = body if last_end or not want[-1][3] else body[: -len(end)]
+    for size in range(1, len(body) + 1):
+        assert of_splits(body, size) == [(r, True) for r in want], size
+
+
+@given(st.lists(st.sampled_from(["@a\nAC\n+\nII\n", "@b\nACG\n+\n@II\n", "noise\n", "@x\nAC\n", "+\n", "@c\nA\n+\nII\n"]), max_size=9), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_splits_of_damaged_text_lose_nothing(parts, size):
+    """Valid records are the same for every split size, and all other lines are in corrupt rows, once."""
+    body = "".join(parts).encode()
+
+    def flat(rows):
+        return [r for r, ok in rows if ok], [line for r, ok in rows if not ok for line in r]
+
+    whole = list(records(io.BytesIO(body), 0, len(body)))
+    assert sum(len(x) + 1 for r, _ in whole for x in r) == len(body)
+    assert flat(of_splits(body, size)) == flat(whole)
+
+
+def test_every_first_symbol(spark, tmp_path):
+    """Through Spark, with chunks read at once and line by line."""
+    rows = [(f"r{c}", "x y" if c % 2 else "", "ACGTA", chr(c) + "".join(chr(33 + (c * k) % 94) for k in range(1, 5))) for c in range(33, 127)]
+    path = tmp_path / "all.fastq"
+    path.write_text("".join(f"@{n}{' ' + c if c else ''}\n{s}\n+\n{q}\n" for n, c, s, q in rows))
+    for size in (7, 33, 64, 1000, 1 << 20):
+        assert rows_of(read_fastq(spark, str(path), "FAILFAST", size)) == rows, size
+
+
+def test_text_that_is_no_fastq_comes_in_bounded_rows(spark, tmp_path):
+    (tmp_path / "x.fastq").write_text("z" * 200_000 + "\n" + "noise\n" * 50_000)
+    rows = read_fastq(spark, str(tmp_path / "x.fastq"), split_bytes=100_000).collect()
+    assert sum(len(r["corrupt"].replace("\n", "")) for r in rows) == 450_000 and max(len(r["corrupt"]) for r in rows) < 200_000
+    assert sorted(r["local_id"] for r in rows if r["block_id"] == 0) == list(range(sum(r["block_id"] == 0 for r in rows)))
+
+
+def test_names_of_the_input_stay(spark, tmp_path):
+    (tmp_path / "x.fastq").write_text(TEXT)
+    rows = read_fastq(spark, str(tmp_path / "x.fastq"), split_bytes=50).selectExpr("*", "1 as base", "2 as count", "3 as _n")
+    got = with_read_ids(rows)
+    assert got.columns[-4:] == ["base", "count", "_n", "read_id"] and [r["read_id"] for r in got.orderBy("read_id").collect()] == [0, 1, 2, 3]
 
 
 def test_modes(spark, tmp_path):
