@@ -11,8 +11,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from readloom.options import Settings
-from readloom.sources.archive import archive_info, read_archive, write_archive
-from readloom.sources.fastq import fastq_text, read_fastq, with_read_ids
+from readloom.sources.archive import archive_info, fastq_to_archive, read_archive
+from readloom.sources.fastq import fastq_text
 
 
 def session(threads: int) -> SparkSession:
@@ -26,12 +26,12 @@ def to_archive(spark: SparkSession, source: str, target: str) -> None:
     if source != "-":
         if not os.path.exists(source):
             raise FileNotFoundError(source)
-        write_archive(with_read_ids(read_fastq(spark, source, "FAILFAST")), target)
+        fastq_to_archive(spark, source, target)
         return
     with tempfile.NamedTemporaryFile(suffix=".fastq") as held:
         shutil.copyfileobj(sys.stdin.buffer, held)
         held.flush()
-        write_archive(with_read_ids(read_fastq(spark, held.name, "FAILFAST")), target)
+        fastq_to_archive(spark, held.name, target)
 
 
 def to_fastq(spark: SparkSession, source: str, target: str | None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ BIN_EDGES = (0, 2, 10, 20, 25, 30, 35, 40)
 BIN_VALUES = (0, 6, 15, 22, 27, 33, 37, 40)
 #: The largest Phred value with a bin of its own; those above fall in the last bin.
 LARGEST_PHRED = 63
+#: The symbol of the qualities at a read's end that truncation leaves out.
+LOW_SYMBOL = "#"
 
 
 def phred(quality: Column, offset: int) -> Column:
@@ -42,15 +46,28 @@ def lossy_sequence(sequence: Column) -> Column:
 
 
 def lossy_quality(sequence: Column, quality: Column, offset: int = 33) -> Column:
-    """Binned qualities. A base that isn't A, C, G or T gets quality 0; the others get the second bin at least."""
+    """Binned qualities. A base that isn't A, C, G or T gets quality 0; the others get the second bin at least.
+
+    A read with more or fewer qualities than bases has them binned only.
+    """
     source, target = _tables(offset)
     binned = F.translate(quality, source, target)
     lifted = F.translate(binned, chr(offset), chr(offset + BIN_VALUES[1]))
-    pairs = F.zip_with(chars(sequence), chars(lifted), lambda b, q: F.when(b.isin("A", "C", "G", "T"), q).otherwise(F.lit(chr(offset))))
-    return F.when(sequence.rlike("[^ACGT]"), F.array_join(pairs, "")).otherwise(lifted)
+
+    @F.arrow_udf("string")
+    def coupled(bases: pa.Array, lifted: pa.Array) -> pa.Array:
+        known = np.isin(np.arange(256), list(b"ACGT"))
+        out = []
+        for s, q in zip(bases.cast(pa.binary()).to_pylist(), lifted.cast(pa.binary()).to_pylist()):
+            if s is not None and q is not None and len(s) == len(q):
+                q = np.where(known[np.frombuffer(s, np.uint8)], np.frombuffer(q, np.uint8), np.uint8(offset)).tobytes()
+            out.append(q)
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    return coupled(sequence, lifted)
 
 
-def truncated_length(quality: Column, low: str = "#") -> Column:
+def truncated_length(quality: Column, low: str = LOW_SYMBOL) -> Column:
     """The length without the low symbols at the end, but 1 at least for a read that isn't empty."""
     return F.when(F.length(quality) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.length(F.rtrim(quality, F.lit(low)))))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from readloom.operators import bytescan as B
+
 #: The most rows that one stored run holds, of qualities and of tag values.
 QUALITY_RUN, VALUE_RUN = 255, 256
 
@@ -25,9 +27,9 @@ def runs(rows: DataFrame, value: str, by: list[str], order: list[str], longest:
     return marked.withColumn("part", part.cast("bigint")).groupBy(*by, "run", "part").agg(F.first(value).alias(value), F.count("*").alias("length"))
 
 
-def quality_runs(bases: DataFrame) -> DataFrame:
+def quality_runs(reads: DataFrame, offset: int = 33) -> DataFrame:
     """Runs of equal qualities over a block's reads put together: block_id, run, part, q, length (stored: one less)."""
-    return runs(bases, "q", ["block_id"], ["read_id", "pos"], QUALITY_RUN)
+    return B.quality_runs(reads, offset, QUALITY_RUN)
 
 
 def run_transitions(quality_runs: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from readloom.functions.bases import ALPHABET, chars, is_transferred, kmers_with_next, symbol_index
-from readloom.functions.qualities import quality_changes, truncated_length
+from readloom.functions.bases import ALPHABET, chars
+from readloom.functions.qualities import quality_changes
+from readloom.operators import bytescan as B
 
 #: The ratios above which an encoding of qualities pays, and sizes of quality models.
 RLE_RATIO, TRUNCATED_RATIO, ORDER_RLE_RATIO = 1.25, 1.10, 1.175
@@ -24,35 +25,29 @@ def infer_offset(low: Column, high: Column) -> Column:
     )
 
 
-def quality_range(reads: DataFrame) -> DataFrame:
-    """block_id, low, high: the least and largest quality byte, found per read before anything is grouped."""
-    codes = F.transform(chars(F.col("quality")), lambda c: F.ascii(c))
-    return reads.select("block_id", F.array_min(codes).alias("low"), F.array_max(codes).alias("high")).groupBy("block_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-
 def phred_offset(reads: DataFrame) -> DataFrame:
-    return quality_range(reads).withColumn("quality_offset", infer_offset(F.col("low"), F.col("high")))
+    return B.byte_range(reads).withColumn("quality_offset", infer_offset(F.col("low"), F.col("high")))
 
 
 def dataset_type(raw: DataFrame) -> DataFrame:
-    """One row: what holds for all raw reads (tag, sequence, plus, quality). consistent is false where reads disagree."""
-    codes = F.transform(chars(F.col("quality")), lambda c: F.ascii(c))
-    color = F.col("sequence").rlike("^.[0-3.]")
-    repeats = F.length("plus") > 1
-    row = raw.select(color.alias("c"), repeats.alias("p"), F.col("sequence").rlike("^[0-9]").alias("digit"), F.array_min(codes).alias("low"), F.array_max(codes).alias("high"))
-    one = row.agg(F.count("*").alias("records"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("c").alias("color_space"), F.bool_or("c").alias("any_color"), F.bool_and("p").alias("plus_repetition"), F.bool_or("p").alias("any_plus"), F.bool_or(F.col("c") & F.col("digit")).alias("digit"))
-    same = (F.col("color_space") == F.col("any_color")) & (F.col("plus_repetition") == F.col("any_plus")) & ~F.col("digit")
-    return one.select("records", infer_offset(F.col("low"), F.col("high")).alias("quality_offset"), "plus_repetition", "color_space", F.coalesce(same, F.lit(True)).alias("consistent"))
+    """One row: what holds for all raw reads (sequence, plus, quality). consistent is false where reads disagree.
+
+    The offset is null if none fits, and 33 where there are no qualities; an empty set is consistent.
+    """
+    one = B.profile(raw).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "color", "digit", "repeated")], F.min("low").alias("low"), F.max("high").alias("high"))
+    n, any_color, any_plus = F.col("records"), F.col("color") > 0, F.col("repeated") > 0
+    same = ((F.col("color") == n) | ~any_color) & ((F.col("repeated") == n) | ~any_plus) & (F.col("digit") == 0)
+    offset = F.when(F.col("low").isNull(), 33).otherwise(infer_offset(F.col("low"), F.col("high")))
+    return one.select(n, offset.alias("quality_offset"), any_plus.alias("plus_repetition"), any_color.alias("color_space"), same.alias("consistent"))
 
 
-def dna_histogram(bases: DataFrame) -> DataFrame:
+def dna_histogram(reads: DataFrame, offset: int = 33) -> DataFrame:
     """block_id, base, n: of the bases that stay in the sequence once ambiguity codes have moved into the qualities."""
-    stays = ~is_transferred(symbol_index(F.col("base")), F.col("q"))
-    return bases.where(stays).groupBy("block_id", "base").agg(F.count("*").alias("n"))
+    return B.kept_base_counts(reads, offset)
 
 
-def quality_histogram(bases: DataFrame) -> DataFrame:
-    return bases.groupBy("block_id", "q").agg(F.count("*").alias("n"))
+def quality_histogram(reads: DataFrame, offset: int = 33) -> DataFrame:
+    return B.quality_counts(reads, offset)
 
 
 def symbol_ranks(histogram: DataFrame, symbol: str, order: Column | None = None) -> DataFrame:
@@ -66,15 +61,13 @@ def base_order() -> Column:
     return F.instr(F.lit(ALPHABET), F.col("base"))
 
 
-def quality_by_position(bases: DataFrame) -> DataFrame:
-    return bases.groupBy("pos", "q").agg(F.count("*").alias("n"))
+def quality_by_position(reads: DataFrame, offset: int = 33) -> DataFrame:
+    return B.position_counts(reads, offset)
 
 
-def quality_by_position_truncated(reads: DataFrame, offset: int) -> DataFrame:
+def quality_by_position_truncated(reads: DataFrame, offset: int = 33) -> DataFrame:
     """Only the symbols before the low ones at each read's end."""
-    kept = chars(F.expr("left(quality, t)"))
-    one = reads.withColumn("t", truncated_length(F.col("quality"))).select(F.posexplode(kept).alias("pos", "c"))
-    return one.groupBy("pos", (F.ascii("c") - offset).alias("q")).agg(F.count("*").alias("n"))
+    return B.position_counts(reads, offset, truncated=True)
 
 
 def length_stats(reads: DataFrame) -> DataFrame:
@@ -122,16 +115,12 @@ def quality_order_model(stats: DataFrame, symbols: DataFrame, order: int) -> Dat
 
 def kmer_context_counts(reads: DataFrame, k: int = 3) -> DataFrame:
     """context, next, n: how often each symbol follows each k symbols within a read."""
-    one = reads.select(F.explode(kmers_with_next(F.col("sequence"), k)).alias("g"))
-    counts = one.groupBy("g").agg(F.count("*").alias("n"))
-    return counts.select(F.substring("g", 1, k).alias("context"), F.substring("g", k + 1, 1).alias("next"), "n")
+    return B.context_counts(reads, "sequence", k).select(F.substring("gram", 1, k).alias("context"), F.substring("gram", k + 1, 1).alias("next"), "n")
 
 
 def quality_context_counts(reads: DataFrame, k: int = 1, buckets: int = 8) -> DataFrame:
     """context, bucket, symbol, n: how often a quality follows k others, by the part of the read it stands in."""
-    one = reads.select(F.length("quality").alias("n"), F.posexplode(kmers_with_next(F.col("quality"), k)).alias("i", "g"))
-    counts = one.groupBy("g", F.floor((F.col("i") + k) * buckets / F.col("n")).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    return counts.select(F.substring("g", 1, k).alias("context"), "bucket", F.substring("g", k + 1, 1).alias("symbol"), "n")
+    return B.context_counts(reads, "quality", k, buckets).select(F.substring("gram", 1, k).alias("context"), "bucket", F.substring("gram", k + 1, 1).alias("symbol"), "n")
 
 
 def stream_sizes(reads: DataFrame) -> DataFrame:
@@ -142,6 +131,7 @@ def stream_sizes(reads: DataFrame) -> DataFrame:
 
 
 def stream_crc32(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Per block the CRC-32 of each column's texts put together in the order of read_id. A block is small by definition."""
-    joined = [F.crc32(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_id", F.col(c).alias("s")))), lambda x: x["s"]), "").cast("binary")).alias(f"crc32_{c}") for c in columns]
-    return rows.groupBy("block_id").agg(*joined)
+    """Per block the CRC-32 of each column's texts put together in the order of read_id."""
+    dealt = rows.select("block_id", "read_id", *columns).repartition("block_id").sortWithinPartitions("block_id", "read_id")
+    found = B.put_together(B.stretches(dealt.withColumn("place", F.lit("")), columns, "place"), columns)
+    return found.select("block_id", *[f"crc32_{c}" for c in columns])

@@ -31,6 +31,12 @@ def title_stats(tags: DataFrame) -> DataFrame:
     return tags.groupBy("block_id").agg(F.min(F.length("tag")).alias("min_length"), F.max(F.length("tag")).alias("max_length"))
 
 
+def title_char_histogram(tags: DataFrame) -> DataFrame:
+    """block_id, ch, n: how often each character is in the tags of a block."""
+    one = tags.select("block_id", F.explode(F.filter(F.split("tag", ""), lambda c: c != "")).alias("ch"))
+    return one.groupBy("block_id", "ch").agg(F.count("*").alias("n"))
+
+
 def field_stats(tokens: DataFrame) -> DataFrame:
     """Per block and field: shortest and longest token, whether it is constant, of constant length, numeric."""
     n = F.length("token")
@@ -67,6 +73,22 @@ def numeric_range(numbers: DataFrame) -> DataFrame:
     return numbers.groupBy("block_id", "field_no").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.when(d <= MOST_VALUES, d).alias("n_values"))
 
 
+def few_counts(rows: DataFrame, value: str) -> DataFrame:
+    """block_id, field_no, value, n: how often each value is there, of fields with at most 512 distinct ones."""
+    keys = ["block_id", "field_no"]
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    few = counts.groupBy(*keys).agg(F.count("*").alias("distinct")).where(F.col("distinct") <= MOST_VALUES).select(*keys)
+    return counts.join(few, keys)
+
+
+def value_counts(numbers: DataFrame) -> DataFrame:
+    return few_counts(numbers, "value")
+
+
+def delta_counts(numbers: DataFrame) -> DataFrame:
+    return few_counts(deltas(numbers, "value", ["block_id", "field_no"], "read_id").where("delta is not null"), "delta")
+
+
 def delta_stats(numbers: DataFrame) -> DataFrame:
     d = deltas(numbers, "value", ["block_id", "field_no"], "read_id").where("delta is not null")
     n = F.count_distinct("delta")

@@ -11,6 +11,8 @@ BUFFER_MB = (1, 1024)
 DNA_LEVELS = (0, 3)
 QUALITY_LEVELS = (0, 2)
 PHRED_OFFSETS = (33, 59, 64)
+#: Field numbers are bits of a signed number of 64 bits, of which the lowest stands for none.
+LAST_FIELD = 62
 
 
 def within(name: str, value: int, low: int, high: int) -> int:
@@ -26,7 +28,7 @@ class FieldMask:
     fields: frozenset[int] = field(default_factory=frozenset)
 
     def add(self, number: int) -> FieldMask:
-        return FieldMask(self.fields | {within("field", number, 1, 64)})
+        return FieldMask(self.fields | {within("field", number, 1, LAST_FIELD)})
 
     @classmethod
     def of(cls, *numbers: int) -> FieldMask:
@@ -37,7 +39,7 @@ class FieldMask:
 
     @classmethod
     def from_bits(cls, bits: int) -> FieldMask:
-        return cls(frozenset(i for i in range(1, 64) if bits >> i & 1))
+        return cls(frozenset(i for i in range(1, LAST_FIELD + 1) if bits >> i & 1))
 
     def bits(self) -> int:
         return sum(1 << i for i in self.fields)

@@ -9,6 +9,8 @@ from readloom.functions.bases import chars
 
 #: Fixed values of the derivation: a character's code point picks a base and a quality.
 BASES, QUALITIES, OFFSET, READS_PER_BLOCK, TAGS_PER_BLOCK = "ACGTACGTACGTACGTN", 41, 33, 100, 1000
+#: Texts of characters below this are spelled by one translation.
+SETTLED = 0x250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +21,24 @@ def block_of(read_id: Column, size: int) -> Column:
     return F.floor(read_id / size).cast("bigint")
 
 
+def spelled(text: Column, letters: str) -> Column:
+    """text with each character as the letter that its code point picks."""
+    settled = "".join(map(chr, range(1, SETTLED)))
+    slow = F.array_join(F.transform(chars(text), lambda c: F.get(F.array(*[F.lit(x) for x in letters]), F.ascii(c) % len(letters))), "")
+    quick = F.translate(text, settled, "".join(letters[ord(c) % len(letters)] for c in settled))
+    return F.when(text.rlike(f"[\\x{{{SETTLED:x}}}-\\x{{10FFFF}}\\x00]"), slow).otherwise(quick)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, block_id, name, comment, sequence, quality: one read for each document that isn't empty."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    bases = F.array(*[F.lit(b) for b in BASES])
-    marks = F.array(*[F.lit(chr(OFFSET + q)) for q in range(QUALITIES)])
-    text = chars(F.col("text"))
     return docs.select(
         F.col("doc_id").alias("read_id"),
         block_of(F.col("doc_id"), READS_PER_BLOCK).alias("block_id"),
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("name"),
         F.concat_ws(" ", "source", "lang").alias("comment"),
-        F.array_join(F.transform(text, lambda c: F.get(bases, F.ascii(c) % len(BASES))), "").alias("sequence"),
-        F.array_join(F.transform(text, lambda c: F.get(marks, F.ascii(c) % QUALITIES)), "").alias("quality"),
+        spelled(F.col("text"), BASES).alias("sequence"),
+        spelled(F.col("text"), "".join(chr(OFFSET + q) for q in range(QUALITIES))).alias("quality"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import functions as X
+from readloom.operators import bytescan as B
 from readloom.operators import runs as R
 from readloom.operators import streams as S
 from readloom.operators import tagstats as T
@@ -113,24 +114,24 @@ def phred_offset(spark, sf_dir):
 
 @query(f"WITH {BASES} SELECT block_id, base, count(*)::BIGINT AS n FROM bases WHERE NOT ({SYMBOL} > 3 AND q < 7) GROUP BY block_id, base")
 def dna_histogram(spark, sf_dir):
-    return S.dna_histogram(D.bases(spark, sf_dir))
+    return S.dna_histogram(D.reads(spark, sf_dir))
 
 
 @query(f"WITH {BASES} SELECT block_id, q, count(*)::BIGINT AS n FROM bases GROUP BY block_id, q")
 def quality_histogram(spark, sf_dir):
-    return S.quality_histogram(D.bases(spark, sf_dir))
+    return S.quality_histogram(D.reads(spark, sf_dir))
 
 
 @query(f"""WITH {BASES}, h AS (SELECT block_id, base, count(*)::BIGINT AS n FROM bases WHERE NOT ({SYMBOL} > 3 AND q < 7) GROUP BY block_id, base)
     SELECT block_id, base, n, (dense_rank() OVER (PARTITION BY block_id ORDER BY {SYMBOL}) - 1)::INT AS symbol_rank,
     count(*) OVER (PARTITION BY block_id)::BIGINT AS n_symbols FROM h""")
 def symbol_rank(spark, sf_dir):
-    return S.symbol_ranks(S.dna_histogram(D.bases(spark, sf_dir)), "base", S.base_order())
+    return S.symbol_ranks(S.dna_histogram(D.reads(spark, sf_dir)), "base", S.base_order())
 
 
 @query(f"WITH {BASES} SELECT pos, q, count(*)::BIGINT AS n FROM bases GROUP BY pos, q")
 def quality_by_position(spark, sf_dir):
-    return S.quality_by_position(D.bases(spark, sf_dir))
+    return S.quality_by_position(D.reads(spark, sf_dir))
 
 
 @query(f"""WITH {READS}, cut AS (SELECT left(quality, greatest(1, length(rtrim(quality, '#')))::INT) AS s FROM reads)
@@ -161,9 +162,7 @@ def quality_bins(spark, sf_dir):
 @query(f"""WITH {BASES}, t AS (SELECT block_id, CASE WHEN {SYMBOL} > 3 AND q < 7 THEN 128 + 8 * ({SYMBOL} - 4) + q ELSE q END AS symbol,
     {SYMBOL} > 3 AND q < 7 AS moved FROM bases) SELECT block_id, symbol::INT AS symbol, moved, count(*)::BIGINT AS n FROM t GROUP BY ALL""")
 def ambiguity_transfer(spark, sf_dir):
-    index = X.symbol_index(F.col("base"))
-    t = D.bases(spark, sf_dir).select("block_id", X.to_transferred(index, F.col("q")).alias("symbol"), ((index > 3) & (F.col("q") < 7)).alias("moved"))
-    return t.groupBy("block_id", "symbol", "moved").agg(F.count("*").alias("n"))
+    return B.transfer_counts(D.reads(spark, sf_dir), D.OFFSET)
 
 
 @query(f"WITH {BASES} SELECT block_id, base, q, count(*)::BIGINT AS n FROM bases GROUP BY ALL")
@@ -247,6 +246,24 @@ def tag_delta_stats(spark, sf_dir):
     return T.delta_stats(T.numbers(tokens(spark, sf_dir)))
 
 
+COUNTS = "SELECT * FROM (SELECT block_id, field_no, {v}, count(*)::BIGINT AS n FROM {t} GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY block_id, field_no) <= 512"
+
+
+@query(f"WITH {NUMBERS} {COUNTS.format(v='value', t='numbers')}")
+def tag_value_counts(spark, sf_dir):
+    return T.value_counts(T.numbers(tokens(spark, sf_dir)))
+
+
+@query(f"WITH {NUMBERS} {COUNTS.format(v='delta', t='deltas')}")
+def tag_delta_counts(spark, sf_dir):
+    return T.delta_counts(T.numbers(tokens(spark, sf_dir)))
+
+
+@query(f"WITH {TAGS} SELECT block_id, ch, count(*)::BIGINT AS n FROM (SELECT block_id, unnest(string_split(tag, '')) AS ch FROM tags) GROUP BY ALL")
+def title_char_histogram(spark, sf_dir):
+    return T.title_char_histogram(D.tags(spark, sf_dir))
+
+
 @query(f"WITH {NUMBERS}, {VALUE_RUNS} SELECT * FROM vruns")
 def tag_value_runs(spark, sf_dir):
     return T.value_runs(T.numbers(tokens(spark, sf_dir)))
@@ -272,25 +289,25 @@ def tag_numeric_scheme(spark, sf_dir):
 
 @query(f"WITH {QUALITY_RUNS} SELECT block_id, q, (length - 1)::BIGINT AS stored, count(*)::BIGINT AS n, sum(run * 7 + part)::BIGINT AS places FROM qruns GROUP BY ALL")
 def quality_runs(spark, sf_dir):
-    r = R.quality_runs(D.bases(spark, sf_dir))
+    r = R.quality_runs(D.reads(spark, sf_dir))
     return r.groupBy("block_id", "q", (F.col("length") - 1).alias("stored")).agg(F.count("*").alias("n"), F.sum(F.col("run") * 7 + F.col("part")).alias("places"))
 
 
 @query(f"""WITH {QUALITY_RUNS}, p AS (SELECT block_id, q, coalesce(lag(q) OVER (PARTITION BY block_id ORDER BY run, part), min(q) OVER (PARTITION BY block_id)) AS previous FROM qruns)
     SELECT block_id, previous, q, count(*)::BIGINT AS n FROM p GROUP BY ALL""")
 def run_transitions(spark, sf_dir):
-    return R.run_transitions(R.quality_runs(D.bases(spark, sf_dir)))
+    return R.run_transitions(R.quality_runs(D.reads(spark, sf_dir)))
 
 
 @query(f"WITH {QUALITY_RUNS} SELECT block_id, q, (length - 1)::BIGINT AS stored, count(*)::BIGINT AS n FROM qruns GROUP BY ALL")
 def run_length_by_symbol(spark, sf_dir):
-    return R.run_lengths(R.quality_runs(D.bases(spark, sf_dir)))
+    return R.run_lengths(R.quality_runs(D.reads(spark, sf_dir)))
 
 
 @query(f"WITH {BASES} SELECT block_id, q, count(*)::BIGINT AS n, sum(place)::BIGINT AS places FROM (SELECT block_id, q, row_number() OVER (PARTITION BY block_id ORDER BY read_id, pos) - 1 AS place FROM bases) GROUP BY ALL")
 def run_expand(spark, sf_dir):
     """Runs, expanded again: each quality's count and places."""
-    back = R.expand_runs(R.quality_runs(D.bases(spark, sf_dir)), "q", ["block_id"])
+    back = R.expand_runs(R.quality_runs(D.reads(spark, sf_dir)), "q", ["block_id"])
     return back.groupBy("block_id", "q").agg(F.count("*").alias("n"), F.sum("at").alias("places"))
 
 
@@ -341,16 +358,30 @@ def stream_sizes(spark, sf_dir):
     return S.stream_sizes(D.reads(spark, sf_dir))
 
 
-@query()
+#: The CRC-32 of a block's tags: a byte table from eight steps for each byte, then a table step for each byte of the text.
+CRC = "list_reduce([i] || range(8), lambda x, _: xor(x // 2, (x % 2) * 3988292384))"
+
+
+@query(f"""WITH {TAGS}, t AS (SELECT list_transform(range(256), lambda i: {CRC}) AS t),
+    texts AS (SELECT block_id, string_agg(tag, '' ORDER BY read_id) AS s FROM tags GROUP BY block_id)
+    SELECT block_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT),
+    lambda x, b: xor(x // 256, t[xor(x % 256, b) + 1])), 4294967295) AS crc32_tag FROM texts, t""")
 def stream_crc32(spark, sf_dir):
-    """DuckDB has no CRC-32; tests compare it with zlib's."""
     return S.stream_crc32(D.tags(spark, sf_dir), ["tag"])
 
 
+@query(f"""WITH {BASES}, r AS (SELECT count(*)::BIGINT AS records FROM documents WHERE length(text) > 0), l AS (SELECT min(q + 33) AS low, max(q + 33) AS high FROM bases)
+    SELECT records, CASE WHEN high <= 74 AND low >= 33 THEN 33 WHEN high <= 105 AND low >= 64 THEN 64 WHEN high <= 105 AND low >= 59 THEN 59
+    WHEN high <= 105 AND low >= 33 THEN 33 END AS quality_offset, true AS plus_repetition, false AS color_space, true AS consistent FROM r, l""")
+def dataset_type(spark, sf_dir):
+    """Of reads whose plus lines repeat their tags."""
+    return S.dataset_type(D.reads(spark, sf_dir).withColumn("plus", F.concat(F.lit("+"), "name")))
+
+
 @query(f"""WITH {BASES}, h AS (SELECT DISTINCT block_id, base FROM bases WHERE NOT ({SYMBOL} > 3 AND q < 7))
     SELECT block_id, count(*)::BIGINT AS n_symbols, CASE WHEN count(*) <= 4 THEN 'two_bits' ELSE 'huffman' END AS dna_scheme FROM h GROUP BY block_id""")
 def dna_scheme(spark, sf_dir):
-    return S.dna_scheme(S.dna_histogram(D.bases(spark, sf_dir)))
+    return S.dna_scheme(S.dna_histogram(D.reads(spark, sf_dir)))
 
 
 @query(f"""WITH {STATS} SELECT block_id, CASE WHEN rle_length > 0 AND truncated_length::FLOAT / rle_length::FLOAT > 1.25::FLOAT THEN 'rle'
@@ -363,13 +394,18 @@ def quality_scheme(spark, sf_dir):
     SELECT block_id, CASE WHEN n <= 16 THEN 16 WHEN n <= 32 THEN 32 WHEN n <= 64 THEN 64 ELSE 128 END AS model_symbols,
     min_length = max_length AND raw_length::FLOAT / rle_length::FLOAT > 1.175::FLOAT AS rle_bonus FROM stats JOIN n USING (block_id)""")
 def quality_order_model(spark, sf_dir):
-    return S.quality_order_model(S.length_stats(D.reads(spark, sf_dir)), S.quality_histogram(D.bases(spark, sf_dir)), 2)
+    return S.quality_order_model(S.length_stats(D.reads(spark, sf_dir)), S.quality_histogram(D.reads(spark, sf_dir)), 2)
+
+
+#: Each step merges the two rarest of a block's list; a symbol's code is as long as there are merges with it.
+HUFFMAN = """h AS (SELECT block_id, list_sort(list({'n': n, 's': q::BIGINT, 'all': [q::BIGINT]})) AS heap FROM (SELECT block_id, q, count(*)::BIGINT AS n FROM bases GROUP BY ALL) GROUP BY block_id),
+    m AS (SELECT block_id, 1000::BIGINT AS fresh, heap, []::BIGINT[] AS merged FROM h
+    UNION ALL SELECT block_id, fresh + 1, list_sort(list_append(heap[3:], {'n': heap[1].n + heap[2].n, 's': fresh, 'all': heap[1].all || heap[2].all})), heap[1].all || heap[2].all FROM m WHERE len(heap) > 1)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {BASES}, {HUFFMAN} SELECT block_id, q, count(*)::INT AS code_length FROM (SELECT block_id, unnest(merged) AS q FROM m) GROUP BY ALL")
 def huffman_code_lengths(spark, sf_dir):
-    """Not in SQL: merging the two rarest symbols again and again. Tests compare it with a heap."""
-    return code_lengths(S.quality_histogram(D.bases(spark, sf_dir)), "block_id", "q", "n")
+    return code_lengths(S.quality_histogram(D.reads(spark, sf_dir)), "block_id", "q", "n")
 
 
 @query("""SELECT token, regexp_full_match(token, '0|[1-9][0-9]*') AS is_num, CASE WHEN regexp_full_match(token, '0|[1-9][0-9]*') THEN token::BIGINT END AS num, token::BIGINT::VARCHAR AS text,

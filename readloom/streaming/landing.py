@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from readloom.functions.bases import chars
 from readloom.functions.tags import split_comment, split_name, valid_record
+from readloom.operators.bytescan import position_counts
 
 #: Spark's text source gives a file's lines without their order, so a file is read as one value and split into records.
-RECORD = r"(?s)(@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*)(?:\n|$)"
+#: A file that lands has at most 2 GB; larger ones are for the `fastq` source, which splits them.
+RECORD = r"(?m)^(@[^\n]+\n[^\n]*\n\+[^\n]*\n[^\n]*)(?:\n|\z)"
 
 
 def landed_reads(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -26,8 +27,7 @@ def landed_reads(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 def quality_profile(reads: DataFrame, offset: int = 33) -> DataFrame:
     """A running histogram of qualities by position, for output mode complete or update."""
-    one = reads.select(F.posexplode(chars(F.col("quality"))).alias("pos", "c"))
-    return one.groupBy("pos", (F.ascii("c") - offset).alias("q")).agg(F.count("*").alias("n"))
+    return position_counts(reads, offset)
 
 
 def to_archive_stream(reads: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom import functions as X
 from readloom.errors import OptionError
+from readloom.operators import bytescan as B
 from readloom.operators import runs as R
 from readloom.operators import streams as S
 from readloom.operators import tagstats as T
@@ -29,11 +30,6 @@ def r1(spark):
     return spark.createDataFrame(R1, SCHEMA).cache()
 
 
-def bases_of(reads):
-    both = F.arrays_zip(F.filter(F.split("sequence", ""), lambda c: c != "").alias("b"), F.filter(F.split("quality", ""), lambda c: c != "").alias("q"))
-    return reads.select("read_id", "block_id", F.posexplode(both).alias("pos", "x")).select("read_id", "block_id", "pos", F.col("x.b").alias("base"), (F.ascii("x.q") - 33).alias("q"))
-
-
 def one(spark, rows, schema, *cols):
     return [tuple(r) if len(cols) > 1 else r[0] for r in spark.createDataFrame(rows, schema).select(*cols).collect()]
 
@@ -46,14 +42,14 @@ def test_offsets(spark):
 def test_first_fixture(spark, r1):
     sizes = [r for r in S.stream_sizes(r1).collect() if r["block_id"] is None][0]
     assert (sizes["tag"], sizes["dna"], sizes["quality"]) == (96, 80, 80)
-    assert {r["base"]: r["n"] for r in S.dna_histogram(bases_of(r1)).collect()} == {"A": 27, "T": 21, "C": 19, "G": 13}
+    assert {r["base"]: r["n"] for r in S.dna_histogram(r1).collect()} == {"A": 27, "T": 21, "C": 19, "G": 13}
     assert [r["quality_offset"] for r in S.phred_offset(r1).collect()] == [64]
     stats = S.length_stats(r1)
     s = stats.first()
     assert (s["records"], s["min_length"], s["max_length"], s["raw_length"], s["truncated_length"], s["rle_length"]) == (4, 12, 28, 80, 76, 15)
     assert S.quality_scheme(stats).first()["quality_scheme"] == "rle"
-    assert S.dna_scheme(S.dna_histogram(bases_of(r1))).first()["dna_scheme"] == "two_bits"
-    found = [(r["q"] + 33, r["length"]) for r in R.quality_runs(bases_of(r1)).orderBy("run", "part").collect()]
+    assert S.dna_scheme(S.dna_histogram(r1)).first()["dna_scheme"] == "two_bits"
+    found = [(r["q"] + 33, r["length"]) for r in R.quality_runs(r1).orderBy("run", "part").collect()]
     assert found == [(ord("I"), 28), (ord("H"), 24), (ord("D"), 16)] + [(c, 1) for c in b"ABCDEFGHIJKL"]
     tags = r1.select("read_id", "block_id", X.join_tag(F.col("name"), F.col("comment")).alias("tag"), "sequence", "quality")
     assert T.tag_format(tags).first()["tag_format"] == "raw"
@@ -114,13 +110,43 @@ def test_truncation(spark):
 
 @pytest.mark.parametrize(("n", "stored"), [(255, [254]), (256, [254, 0]), (511, [254, 254, 0])])
 def test_long_runs(spark, n, stored):
-    rows = spark.range(n).select(F.lit(0).alias("block_id"), F.lit(0).alias("read_id"), F.col("id").alias("pos"), F.lit(7).alias("q"))
+    rows = spark.createDataFrame([(0, i, "(" * k) for i, k in enumerate((100, 0, n - 100))], "block_id long, read_id long, quality string")
     found = R.quality_runs(rows)
     assert [r["length"] - 1 for r in found.orderBy("part").collect()] == stored
     back = R.expand_runs(found, "q", ["block_id"]).orderBy("at").collect()
     assert [r["at"] for r in back] == list(range(n))
 
 
+@given(st.lists(st.tuples(st.integers(0, 2), st.text("#$I", max_size=5)), min_size=1, max_size=20), st.integers(1, 12))
+@settings(max_examples=150, deadline=None)
+def test_runs_over_slices(reads, size):
+    """Runs go on over reads and over slices of any size, and stop at a block's end."""
+    import itertools
+    from unittest import mock
+
+    import pyarrow as pa
+
+    class Rows:  # what quality_runs() needs of a frame
+        def select(self, *_):
+            return self
+
+        repartition = sortWithinPartitions = select
+
+        def mapInArrow(self, scan, _):  # noqa: N802
+            return scan
+
+    reads = sorted(reads, key=lambda r: r[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in reads], pa.int64()), pa.array([q for _, q in reads])], names=["block_id", "quality"])
+    with mock.patch.object(B, "SLICE_BYTES", size):
+        got = [tuple(r.values()) for out in B.quality_runs(Rows(), 33, 4)(iter([batch])) for r in out.to_pylist()]
+    want = []
+    for b, mine in itertools.groupby(reads, lambda r: r[0]):
+        for i, (c, run) in enumerate(itertools.groupby("".join(q for _, q in mine))):
+            n = len(list(run))
+            want += [(b, i, p, ord(c) - 33, min(4, n - 4 * p)) for p in range(-(-n // 4))]
+    assert got == want
+
+
 def test_numeric_schemes(spark):
     def scheme(values):
         rows = spark.createDataFrame([(i, 0, 1, v) for i, v in enumerate(values)], "read_id long, block_id long, field_no int, value long")
@@ -154,6 +180,9 @@ def test_more_options():
         DatasetType(quality_offset=50)
     assert FieldMask.from_bits(FieldMask.of(1, 4).bits()) == FieldMask.of(1, 4)
     assert Settings(lossy=True, quality_level=2).quality_order == 6 and Settings(quality_level=2).quality_order == 2
+    with pytest.raises(OptionError):
+        FieldMask.of(63)
+    assert FieldMask.of(62).bits() < 2**63
     assert Settings(lossy=True, mask=FieldMask.of(1)).checked_streams == ("sequence",)
 
 
@@ -174,6 +203,21 @@ def test_huffman(counts):
     assert sum(counts[s] * n for s, n in got.items()) == cost
 
 
+@given(st.binary(max_size=40), st.binary(max_size=70))
+def test_crc_of_two_parts(a, b):
+    assert B.crc32_combined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_datasets_that_disagree(spark):
+    def found(*rows):
+        return tuple(S.dataset_type(spark.createDataFrame(rows, "sequence string, plus string, quality string")).first())
+
+    assert found(("T01.", "+", "IIII"), ("T1", "+", "II")) == (2, 33, False, True, True)
+    assert found(("T01.", "+", "IIII"), ("TA", "+", "II"))[4] is False and found(("0123", "+", "IIII"))[4] is False
+    assert found(("AC", "+x", "II"), ("AC", "+", "II"))[4] is False and found(("AC", "+", "h~"))[1] is None
+    assert found(("A", "+", "a"), ("AC", "+", "fg")) == (2, 64, False, False, True)
+
+
 def test_crc_matches_zlib(spark):
     rows = spark.createDataFrame([(2, 0, "cc"), (1, 0, "b"), (5, 1, "x")], "read_id long, block_id long, s string")
     got = {r["block_id"]: r["crc32_s"] for r in S.stream_crc32(rows, ["s"]).collect()}

@@ -67,7 +67,7 @@ def test_any_split_gives_each_record_once(reads, end, last_end):
         assert of_splits(body, size) == [(r, True) for r in want], size
 
 
-@given(st.lists(st.sampled_from(["@a\nAC\n+\nII\n", "@b\nACG\n+\n@II\n", "noise\n", "@x\nAC\n", "+\n", "@c\nA\n+\nII\n"]), max_size=9), st.integers(1, 40))
+@given(st.lists(st.sampled_from(["@a\nAC\n+\nII\n", "@b\nACG\n+\n@II\n", "noise\n", "@x\nAC\n", "-\n", "@c\nA\n+\nII\n"]), max_size=9), st.integers(1, 40))
 @settings(max_examples=150, deadline=None)
 def test_splits_of_damaged_text_lose_nothing(parts, size):
     """Valid records are the same for every split size, and all other lines are in corrupt rows, once."""
@@ -161,6 +161,24 @@ def test_lossy_mask_and_bad_reads(spark, tmp_path):
     assert read_archive(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_ingest_finds_the_dataset(spark, tmp_path):
+    from readloom.sources.archive import archive_info
+
+    repeated = TEXT.replace("\n+\n", "\n+x\n")
+    body = "".join(f"@{n} {c}\n{s}\n+{n} {c}\n{q}\n" for _, _, n, c, s, q in R1 if c)
+    (tmp_path / "in.fastq").write_text(body)
+    fastq_to_archive(spark, str(tmp_path / "in.fastq"), str(tmp_path / "a"), Settings(lossy=True))
+    row = archive_info(spark, str(tmp_path / "a"))[0].first()
+    assert (row["quality_offset"], row["plus_repetition"], row["color_space"]) == (64, True, False)
+    assert read_archive(spark, str(tmp_path / "a")).orderBy("read_id").first()["quality"] == "F" * 28  # as at offset 64
+    fastq_to_archive(spark, str(tmp_path / "in.fastq"), str(tmp_path / "b"))
+    archive_to_fastq(spark, str(tmp_path / "b"), str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == body
+    (tmp_path / "bad.fastq").write_text(repeated + TEXT)
+    with pytest.raises(FormatError, match="disagree"):
+        fastq_to_archive(spark, str(tmp_path / "bad.fastq"), str(tmp_path / "c"))
+
+
 def test_commands(spark, tmp_path):
     source = tmp_path / "in.fastq"
     source.write_text(TEXT)
