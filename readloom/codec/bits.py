@@ -30,6 +30,10 @@ class BitWriter:
         self.align()
         self.done += value.to_bytes(size, "big")
 
+    def raw(self, data: bytes) -> None:
+        self.align()
+        self.done += data
+
     def bytes(self) -> bytes:
         self.align()
         return bytes(self.done)
@@ -79,3 +83,18 @@ class BitReader:
         out = int.from_bytes(self.data[self.at : self.at + size], "big")
         self.at += size
         return out
+
+    def raw(self, size: int) -> bytes:
+        self.align()
+        if self.at + size > len(self.data):
+            raise FormatError("a block ends in the middle of a text")
+        self.at += size
+        return self.data[self.at - size : self.at]
+
+    def rest(self) -> tuple[bytes, int]:
+        """The whole block and where the next byte is in it, for a reader of bytes."""
+        self.align()
+        return self.data, self.at
+
+    def skip_to(self, at: int) -> None:
+        self.at, self.text, self.pos = at, "", 0

@@ -1,25 +1,30 @@
-"""One block of reads: meta, tag, quality and DNA streams, without loss and at order 0.
+"""One block of reads: meta, tag, quality and DNA streams.
 
-Written: tags as raw Huffman codes, qualities by position, truncated or in runs, whichever the block's statistics choose, bases in two
-bits or Huffman codes. Read: the same. A tokenised tag stream or an order above 0 is told apart and refused.
+Tags are stored by fields if all have the same separators, else as raw Huffman codes. At order 0 qualities are stored by
+position, truncated or in runs, whichever the block's statistics choose, and bases in two bits or Huffman codes; above it both
+are range-coded by contexts. Lossy blocks hold bins of qualities, colour-space blocks their bases, with a first base and quality
+that all reads share stored once. Checksums are of the texts as they were; they are verified when a block is read.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+from readloom.codec import models, tagfields
 from readloom.codec.bits import BitReader, BitWriter
 from readloom.codec.trees import Tree, load_presence, store_presence
 from readloom.errors import FormatError
-from readloom.functions.bases import ALPHABET, TRANSFER_BASE, TRANSFER_BELOW, TRANSFER_STEP
+from readloom.functions.bases import ALPHABET, TRANSFER_BASE, TRANSFER_BELOW, TRANSFER_STEP, TWO_BITS
+from readloom.functions.qualities import BIN_VALUES, LARGEST_PHRED, bin_of
 from readloom.operators.streams import RLE_RATIO, TRUNCATED_RATIO
 
-#: Flags of a block, sizes of symbol sets, scheme numbers, the longest run, the low symbol.
+#: Flags of a block, sizes of symbol sets, scheme numbers, the longest run, the low symbol, the index of N.
 CONSTANT_PRIMER, VARIABLE_LENGTH, MIXED_TAGS = 1, 2, 4
 TAG_SYMBOLS, QUALITY_SYMBOLS, DNA_SYMBOLS = 128, 256, 20
 PLAIN, TRUNCATED, RUNS = 0, 1, 2
-TWO_BITS, HUFFMAN, NO_DNA = 0, 1, 255
-LONGEST_RUN, LOW = 255, 2
+TWO_BIT_BASES, HUFFMAN, NO_DNA = 0, 1, 255
+LONGEST_RUN, LOW, UNKNOWN = 255, 2, 4
 
 INDEX = {c: i for i, c in enumerate(ALPHABET)}
 Record = tuple[bytes, str, str]  # tag with its '@', sequence, quality
@@ -39,28 +44,65 @@ class Shape:
     plus_repetition: bool = False
 
 
-def _split(sequence: str, quality: str, offset: int) -> tuple[list[int], list[int]]:
-    """(quality symbols, base indexes): ambiguity codes of low quality stand in the qualities alone."""
+def colors(bases: str) -> str:
+    """The first base and the colour of each step from a known base to the next; '.' for a base that isn't known."""
+    out, now = [bases[:1]], max(TWO_BITS.find(bases[:1]), 0)
+    for b in bases[1:]:
+        at = TWO_BITS.find(b)
+        out.append("." if at < 0 else str(now ^ at))
+        now = now if at < 0 else at
+    return "".join(out)
+
+
+def bases_of(text: str) -> str:
+    """The inverse of colors()."""
+    out, now = [text[:1]], max(TWO_BITS.find(text[:1]), 0)
+    for c in text[1:]:
+        if c not in "0123.":
+            raise FormatError(f"no colour {c!r}")
+        now = now if c == "." else now ^ int(c)
+        out.append("N" if c == "." else TWO_BITS[now])
+    return "".join(out)
+
+
+def _split(sequence: str, quality: str, shape: Shape) -> tuple[list[int], list[int]]:
+    """(quality symbols, base indexes). Without loss, ambiguity codes of low quality stand in the qualities alone. With loss the
+    symbols are bins, and a base that isn't A, C, G or T is bin 0 alone, which no other base has."""
     symbols, bases = [], []
     for b, c in zip(sequence, quality):
-        i, q = INDEX.get(b), ord(c) - offset
+        i, q = INDEX.get(b), ord(c) - shape.offset
         if i is None or not 0 <= q < TRANSFER_BASE:
-            raise FormatError(f"no base {b!r} or no quality {c!r} at offset {offset}")
-        if i > 3 and q < TRANSFER_BELOW:
-            symbols.append(TRANSFER_BASE + TRANSFER_STEP * (i - 4) + q)
+            raise FormatError(f"no base {b!r} or no quality {c!r} at offset {shape.offset}")
+        if shape.lossy:
+            bin_number = max(bin_of(min(q, LARGEST_PHRED)), 1) if i < UNKNOWN else 0
+            symbols.append(bin_number)
+            if bin_number:
+                bases.append(i)
+        elif i >= UNKNOWN and q < TRANSFER_BELOW:
+            symbols.append(TRANSFER_BASE + TRANSFER_STEP * (i - UNKNOWN) + q)
         else:
             symbols.append(q)
             bases.append(i)
     return symbols, bases
 
 
-def _joined(symbols: list[int], bases: list[int], offset: int) -> tuple[str, str]:
+def _alone(symbol: int, shape: Shape) -> bool:
+    """Whether a quality symbol stands for its base, too."""
+    return symbol == 0 if shape.lossy else symbol >= TRANSFER_BASE
+
+
+def _joined(symbols: list[int], bases: list[int], shape: Shape) -> tuple[str, str]:
     rest = iter(bases)
     sequence, quality = [], []
     for s in symbols:
-        inside = s >= TRANSFER_BASE
-        sequence.append(ALPHABET[(s - TRANSFER_BASE) // TRANSFER_STEP + 4 if inside else next(rest)])
-        quality.append(chr(offset + (s % TRANSFER_STEP if inside else s)))
+        if shape.lossy:
+            index, q = (UNKNOWN if s == 0 else next(rest)), BIN_VALUES[s]
+        elif s >= TRANSFER_BASE:
+            index, q = (s - TRANSFER_BASE) // TRANSFER_STEP + UNKNOWN, s % TRANSFER_STEP
+        else:
+            index, q = next(rest), s
+        sequence.append(ALPHABET[index])
+        quality.append(chr(shape.offset + q))
     return "".join(sequence), "".join(quality)
 
 
@@ -83,35 +125,134 @@ def _cut(row: list[int]) -> int:
     return n
 
 
-def _quality_scheme(symbols: list[list[int]]) -> int:
+def _changes(symbols: list[list[int]]) -> int:
+    return sum(1 + sum(a != b for a, b in zip(row, row[1:])) - (row[-1] == LOW) for row in symbols if row)
+
+
+def _quality_scheme(symbols: list[list[int]], shape: Shape) -> int:
     raw = sum(map(len, symbols))
     th = sum(max(0, _cut(row) - 1) for row in symbols)
-    changes = sum(1 + sum(a != b for a, b in zip(row, row[1:])) - (row[-1] == LOW) for row in symbols)
+    changes = _changes(symbols)
     if changes > 0 and th / changes > RLE_RATIO:
         return RUNS
-    return TRUNCATED if th > 0 and raw / th > TRUNCATED_RATIO else PLAIN
+    # Readers differ in what they put back for a cut bin, so bins are never cut.
+    return TRUNCATED if th > 0 and raw / th > TRUNCATED_RATIO and not shape.lossy else PLAIN
 
 
-def encode_block(records: list[Record], shape: Shape, scheme: int | None = None) -> bytes:
-    parts = [_split(s, q, shape.offset) for _, s, q in records]
-    lengths = [len(q) for _, _, q in records]
+def _checksums(records: list[Record], shape: Shape) -> list[int]:
+    """Of the streams that come back as they were."""
+    kept = ([0] if not shape.mask else []) + [1] + ([2] if not shape.lossy else [])
+    out = []
+    for k in kept:
+        crc = 0
+        for r in records:
+            crc = zlib.crc32(r[k] if k == 0 else r[k].encode("latin-1"), crc)
+        out.append(crc)
+    return out
+
+
+def encode_streams(records: list[Record], shape: Shape, scheme: int | None = None) -> tuple[bytes, dict[str, int]]:
+    """(the block, the bytes of its streams meta, tag, quality and dna)."""
     if not records or any(len(s) != len(q) or not q for _, s, q in records):
         raise FormatError("a block needs reads, each with as many qualities as bases and at least one")
-    out = BitWriter()
+    out, ends = BitWriter(), [0]
+
+    def stream_ends() -> None:
+        out.align()
+        ends.append(len(out.done))
+
+    rows = [(bases_of(s) if shape.color_space else s, q) for _, s, q in records]
+    first = {(s[0], q[0]) for s, q in rows} if shape.color_space and min(len(q) for _, q in rows) > 1 else set()
+    primer = first.pop() if len(first) == 1 else None
+    primer = primer if primer and primer[0] in TWO_BITS else None
+    parts = [_split(s[bool(primer) :], q[bool(primer) :], shape) for s, q in rows]
+    symbols, bases = [p[0] for p in parts], [p[1] for p in parts]
+    lengths = [len(row) for row in symbols]
     low, high = min(lengths), max(lengths)
+    tokens = tagfields.split([t for t, _, _ in records])
     out.number(len(records))
     out.number(high)
-    out.number(MIXED_TAGS | (VARIABLE_LENGTH if low != high else 0))
-    out.number(sum(len(t) + len(s) + len(q) + 5 for t, s, q in records) - 1)
+    out.number(CONSTANT_PRIMER * (primer is not None) | VARIABLE_LENGTH * (low != high) | MIXED_TAGS * (tokens is None))
+    repeated = sum(len(t) - 1 for t, _, _ in records) if shape.plus_repetition else 0
+    out.number(sum(len(t) + len(s) + len(q) + 5 for t, s, q in records) + repeated - 1)
     if low != high:
         out.number(low)
-    _store_tags(out, [t for t, _, _ in records], lengths, low, high)
-    symbols = [p[0] for p in parts]
-    scheme = _quality_scheme(symbols) if scheme is None else scheme
+    if primer:
+        (head,), _ = _split(*primer, shape)
+        out.number(INDEX[primer[0]], 1)
+        out.number(head, 1)
+    if shape.crc32:
+        for crc in _checksums(records, shape):
+            out.number(crc)
+    stream_ends()
+    if tokens is None:
+        _store_tags(out, [t for t, _, _ in records], lengths, low, high)
+    else:
+        _store_fields(out, tokens, lengths, low, high)
+    stream_ends()
+    _store_qualities(out, symbols, low, high, shape, scheme)
+    stream_ends()
+    _store_bases(out, bases, shape.dna_order)
+    stream_ends()
+    return out.bytes(), dict(zip(("meta", "tag", "quality", "dna"), (b - a for a, b in zip(ends, ends[1:]))))
+
+
+def encode_block(records: list[Record], shape: Shape, scheme: int | None = None) -> bytes:
+    return encode_streams(records, shape, scheme)[0]
+
+
+def _store_qualities(out: BitWriter, symbols: list[list[int]], low: int, high: int, shape: Shape, scheme: int | None) -> None:
+    if shape.quality_order and shape.lossy:
+        models.store_bins(out, symbols, shape.quality_order)
+        return
+    if shape.quality_order:
+        present = sorted({s for row in symbols for s in row})
+        scheme = models.quality_scheme(present, shape.quality_order, [len(row) for row in symbols], _changes(symbols)) if scheme is None else scheme
+        out.number(scheme, 1)
+        models.store_qualities(out, symbols, scheme, shape.quality_order)
+        return
+    scheme = _quality_scheme(symbols, shape) if scheme is None else scheme
     out.number(scheme, 1)
     (_store_runs if scheme == RUNS else _store_positions)(out, symbols, low, high, *([scheme] if scheme != RUNS else []))
-    _store_bases(out, [p[1] for p in parts])
-    return out.bytes()
+
+
+def _load_qualities(source: BitReader, lengths: list[int], shape: Shape) -> list[list[int]]:
+    if shape.quality_order and shape.lossy:
+        return models.load_bins(source, lengths, shape.quality_order)
+    scheme = source.number(1)
+    if shape.quality_order:
+        return models.load_qualities(source, lengths, scheme, shape.quality_order)
+    if scheme not in (PLAIN, TRUNCATED, RUNS):
+        raise FormatError(f"no quality scheme {scheme}")
+    return _load_runs(source, lengths) if scheme == RUNS else _load_positions(source, lengths, scheme)
+
+
+def _store_fields(out: BitWriter, tokens: list[list[bytes]], lengths: list[int], low: int, high: int) -> None:
+    fields = [tagfields.Field(list(column)) for column in zip(*(t[0::2] for t in tokens))]
+    out.number(len(fields), 1)
+    separators = [s[0] for s in tokens[0][1::2]] + [tagfields.NO_SEPARATOR]
+    for f, separator in zip(fields, separators):
+        f.store(out, separator)
+    wide = (high - low).bit_length()
+    for i, (t, n) in enumerate(zip(tokens, lengths)):
+        for f, token in zip(fields, t[0::2]):
+            f.store_token(out, token, i)
+        out.bits(n - low, wide)
+    out.align()
+
+
+def _load_fields(source: BitReader, n: int, low: int, high: int) -> tuple[list[bytes], list[int]]:
+    fields = [tagfields.StoredField(source) for _ in range(source.number(1))]
+    if not fields:
+        raise FormatError("tags without fields")
+    wide = (high - low).bit_length()
+    tags, lengths = [], []
+    for i in range(n):
+        parts = [f.token(source, i) + bytes([f.separator]) for f in fields]
+        tags.append(b"".join(parts)[:-1])
+        lengths.append(low + source.bits(wide))
+    source.align()
+    return tags, lengths
 
 
 def _store_tags(out: BitWriter, tags: list[bytes], lengths: list[int], low: int, high: int) -> None:
@@ -246,7 +387,12 @@ def _load_runs(source: BitReader, lengths: list[int]) -> list[list[int]]:
     return out
 
 
-def _store_bases(out: BitWriter, bases: list[list[int]]) -> None:
+def _store_bases(out: BitWriter, bases: list[list[int]], order: int) -> None:
+    if order and any(bases):
+        scheme = models.base_scheme(sorted({i for row in bases for i in row}))
+        out.number(scheme, 1)
+        models.store_bases(out, bases, scheme, order)
+        return
     counts = [0] * DNA_SYMBOLS
     for row in bases:
         for i in row:
@@ -255,7 +401,7 @@ def _store_bases(out: BitWriter, bases: list[list[int]]) -> None:
     if not present:
         out.number(NO_DNA, 1)
     elif max(present) < 4:
-        out.number(TWO_BITS, 1)
+        out.number(TWO_BIT_BASES, 1)
         for row in bases:
             for i in row:
                 out.bits(i, 2)
@@ -270,11 +416,13 @@ def _store_bases(out: BitWriter, bases: list[list[int]]) -> None:
     out.align()
 
 
-def _load_bases(source: BitReader, lengths: list[int]) -> list[list[int]]:
+def _load_bases(source: BitReader, lengths: list[int], order: int) -> list[list[int]]:
     scheme = source.number(1)
     if scheme == NO_DNA:
         return [[] for _ in lengths]
-    if scheme == TWO_BITS:
+    if order:
+        return models.load_bases(source, lengths, scheme, order)
+    if scheme == TWO_BIT_BASES:
         out = [[source.bits(2) for _ in range(n)] for n in lengths]
     elif scheme == HUFFMAN:
         present = load_presence(source, DNA_SYMBOLS)
@@ -287,20 +435,24 @@ def _load_bases(source: BitReader, lengths: list[int]) -> list[list[int]]:
 
 
 def decode_block(data: bytes, shape: Shape) -> list[Record]:
-    if shape.dna_order or shape.quality_order or shape.lossy or shape.color_space:
-        raise FormatError("only blocks without loss, at order 0 and in base space can be read")
     source = BitReader(data)
     n, high, flags, _ = (source.number() for _ in range(4))
     low = source.number() if flags & VARIABLE_LENGTH else high
-    if shape.crc32:
-        for _ in range(3 - bool(shape.mask)):
-            source.number()
-    if not flags & MIXED_TAGS:
-        raise FormatError("a block with tokenised tags can't be read yet")
-    tags, lengths = _load_tags(source, n, low, high)
-    scheme = source.number(1)
-    if scheme not in (PLAIN, TRUNCATED, RUNS):
-        raise FormatError(f"no quality scheme {scheme}")
-    symbols = _load_runs(source, lengths) if scheme == RUNS else _load_positions(source, lengths, scheme)
-    bases = _load_bases(source, [sum(s < TRANSFER_BASE for s in row) for row in symbols])
-    return [(t, *_joined(s, b, shape.offset)) for t, s, b in zip(tags, symbols, bases)]
+    primer = None
+    if shape.color_space and flags & CONSTANT_PRIMER:
+        index, head = source.number(1), source.number(1)
+        primer = _joined([head], [index], shape)
+    sums = [source.number() for _ in range(1 + (not shape.mask) + (not shape.lossy))] if shape.crc32 else []
+    tags, lengths = (_load_tags if flags & MIXED_TAGS else _load_fields)(source, n, low, high)
+    symbols = _load_qualities(source, lengths, shape)
+    bases = _load_bases(source, [sum(not _alone(s, shape) for s in row) for row in symbols], shape.dna_order)
+    rows = [_joined(s, b, shape) for s, b in zip(symbols, bases)]
+    if primer:
+        rows = [(primer[0] + s, primer[1] + q) for s, q in rows]
+    if shape.color_space:
+        rows = [(colors(s), q) for s, q in rows]
+    records = [(t, s, q) for t, (s, q) in zip(tags, rows)]
+    # The bases of a lossy block come back with N for every ambiguity code, so only what is kept as it was can be verified.
+    if sums and not shape.lossy and sums != _checksums(records, shape):
+        raise FormatError("a block whose checksums don't hold")
+    return records

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import functions as X
+from readloom.codec.block import Shape
 from readloom.operators import bytescan as B
 from readloom.operators import runs as R
 from readloom.operators import streams as S
@@ -442,17 +443,55 @@ def archive_roundtrip(spark, sf_dir):
     return read_archive(spark, path).select("read_id", "name", "comment", "sequence", "quality")
 
 
-@query(SAME_READS)
-def blockfile_roundtrip(spark, sf_dir):
-    """Reads written to a binary block archive and read again are the same reads in the same order."""
-    from readloom.sources.blockfile import read_blocks, write_blocks
+def through_blocks(spark: SparkSession, reads: DataFrame, shape, folder: bool = False) -> DataFrame:
+    """Reads written to a binary block archive, or a folder of them, and read again."""
+    from readloom.sources.blockfile import read_blocks, write_block_folder, write_blocks
     from readloom.sources.fastq import with_read_ids
 
     path = f"{scratch(spark)}/blocks-{uuid.uuid4().hex}"
-    write_blocks(D.reads(spark, sf_dir), path, D.OFFSET, 1 << 18)
+    (write_block_folder if folder else write_blocks)(reads, path, shape, 1 << 18)
     return with_read_ids(read_blocks(spark, path)).select("read_id", "name", "comment", "sequence", "quality")
 
 
+@query(SAME_READS)
+def blockfile_roundtrip(spark, sf_dir):
+    return through_blocks(spark, D.reads(spark, sf_dir), Shape(D.OFFSET, crc32=True))
+
+
+@query(f"""WITH {TAGS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, split_part(substr(tag, 2), ' ', 1) AS name, substr(tag, instr(tag, ' ') + 1) AS comment,
+    'ACGT' AS sequence, 'IIII' AS quality FROM tags""")
+def blockfile_tokens_roundtrip(spark, sf_dir):
+    """Tags that are stored by fields."""
+    reads = D.tags(spark, sf_dir).select("read_id", X.split_name(F.col("tag")).alias("name"), X.split_comment(F.col("tag")).alias("comment"), F.lit("ACGT").alias("sequence"), F.lit("IIII").alias("quality"))
+    return through_blocks(spark, reads, Shape(D.OFFSET, crc32=True), folder=True)
+
+
+@query(SAME_READS)
+def blockfile_orders_roundtrip(spark, sf_dir):
+    """Range-coded bases and qualities at the highest levels without loss."""
+    return through_blocks(spark, D.reads(spark, sf_dir), Shape(D.OFFSET, crc32=True, dna_order=9, quality_order=2), folder=True)
+
+
+LOSSY = f"""string_agg(CASE WHEN base IN ('A', 'C', 'G', 'T') THEN base ELSE 'N' END, '' ORDER BY pos) AS sequence,
+    string_agg(CASE WHEN base NOT IN ('A', 'C', 'G', 'T') THEN '!' ELSE chr((33 + greatest(6, {BIN.format(q="q")}))::INT) END, '' ORDER BY pos) AS quality"""
+
+
+@query(f"""WITH {BASES}, l AS (SELECT read_id, {LOSSY} FROM bases GROUP BY read_id), {READS} SELECT row_number() OVER (ORDER BY l.read_id) - 1 AS read_id, name, comment, l.sequence, l.quality
+    FROM l JOIN reads ON l.read_id = reads.read_id""")
+def blockfile_lossy_roundtrip(spark, sf_dir):
+    return through_blocks(spark, D.reads(spark, sf_dir), Shape(D.OFFSET, lossy=True, quality_order=3), folder=True)
+
+
+@query(f"""WITH {COLORS}, primed AS (SELECT read_id, 'T' || string_agg(CASE WHEN base = 'N' THEN '.' ELSE xor(coalesce(before, 3)::INT, (instr('ACGT', base) - 1)::INT)::VARCHAR END, '' ORDER BY pos) AS c
+    FROM st GROUP BY read_id), {READS} SELECT row_number() OVER (ORDER BY reads.read_id) - 1 AS read_id, name, comment, c AS sequence, 'I' || quality AS quality
+    FROM primed JOIN reads ON primed.read_id = reads.read_id""")
+def blockfile_colorspace_roundtrip(spark, sf_dir):
+    """Colours after a primer base that all reads share."""
+    reads = D.reads(spark, sf_dir)
+    reads = reads.withColumn("sequence", X.bases_to_colors(F.concat(F.lit("T"), "sequence"))).withColumn("quality", F.concat(F.lit("I"), "quality"))
+    return through_blocks(spark, reads, Shape(D.OFFSET, color_space=True), folder=True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that the driver and the executors share: spark.checkpoint.dir, or in local mode one of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
