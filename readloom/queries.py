@@ -250,9 +250,10 @@ def tag_delta_stats(spark, sf_dir):
 COUNTS = "SELECT * FROM (SELECT block_id, field_no, {v}, count(*)::BIGINT AS n FROM {t} GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY block_id, field_no) <= 512"
 
 
-@query(f"WITH {NUMBERS} {COUNTS.format(v='value', t='numbers')}")
+@query(f"WITH {NUMBERS}, ends AS (SELECT block_id, field_no, value % 100 AS value FROM numbers) {COUNTS.format(v='value', t='ends')}")
 def tag_value_counts(spark, sf_dir):
-    return T.value_counts(T.numbers(tokens(spark, sf_dir)))
+    """Of the last two digits, as the numbers themselves have too many values."""
+    return T.value_counts(T.numbers(tokens(spark, sf_dir)).withColumn("value", F.col("value") % 100))
 
 
 @query(f"WITH {NUMBERS} {COUNTS.format(v='delta', t='deltas')}")
