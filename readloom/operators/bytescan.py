@@ -72,6 +72,11 @@ def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_counts=True)
 
 
+def by_block(reads: DataFrame, *columns: str) -> DataFrame:
+    """The reads of a block in one task, in the order of read_id."""
+    return reads.select("block_id", "read_id", *columns).repartition("block_id").sortWithinPartitions("block_id", "read_id")
+
+
 def tally(reads: DataFrame, columns: list[str], keys: str, one: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """The rows (keys, n): of each slice `one` gives the columns of its partial counts, keys first and their numbers last."""
     schema = f"{keys}, n bigint"
@@ -220,8 +225,7 @@ def quality_runs(reads: DataFrame, offset: int, longest: int) -> DataFrame:
         if held is not None:
             yield rows(*(np.array([x]) for x in held))
 
-    dealt = reads.select("block_id", "read_id", "quality").repartition("block_id").sortWithinPartitions("block_id", "read_id")
-    return dealt.mapInArrow(scan, "block_id bigint, run bigint, part bigint, q int, length bigint")
+    return by_block(reads, "quality").mapInArrow(scan, "block_id bigint, run bigint, part bigint, q int, length bigint")
 
 
 def crc32_combined(first: int, second: int, length: int) -> int:
@@ -306,3 +310,44 @@ def profile(raw_reads: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["records", "low", "high", "color", "digit", "repeated"])
 
     return raw_reads.select("sequence", "plus", "quality").mapInArrow(part, "records bigint, low bigint, high bigint, color bigint, digit bigint, repeated bigint")
+
+
+def model_counts(reads: DataFrame, column: str, offset: int, k: int, buckets: int, mean: bool) -> DataFrame:
+    """context, bucket, symbol, n: what follows the last k symbols of a block, whatever read they are in, by the part of the read.
+
+    Symbols are bytes less the offset, and 0 before a block's first. With mean, a symbol from the middle of the context on is the
+    mean of itself and the one before it, rounded down. context: the symbols from the last one back, joined by commas.
+    """
+    middle = k // 2 if mean and k > 1 else k
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block_before, tail = None, np.zeros(k + 1, np.int64)
+        for batch in slices(batches, column):
+            s, at = raw(batch.column(column))
+            if not len(s):
+                continue
+            read, pos = places(at)
+            block = batch.column("block_id").to_numpy()[read]
+            whole = np.concatenate([tail, s.astype(np.int64) - offset])
+            owner = np.concatenate([np.full(k + 1, block[0] if block_before is None else block_before), block])
+            started = block_before is not None
+            block_before, tail = block[-1], whole[-k - 1 :]
+            now = np.arange(k + 1, len(whole))
+
+            def back(i: int, whole=whole, owner=owner, now=now, started=started) -> np.ndarray:
+                same = (owner[now - i] == owner[now]) & (started | (now - i > k))
+                return np.where(same, whole[now - i], 0)
+
+            digits = [back(i + 1) if i < middle else (back(i + 1) + back(i + 2)) // 2 for i in range(k)]
+            key = np.zeros(len(now), np.int64)
+            for d in [*digits, whole[k + 1 :], pos * buckets // np.diff(at)[read]]:
+                key = key << 8 | d
+            found, n = counted(key)
+            places_of = [found >> 8 * (k + 1 - i) & 255 for i in range(k)]
+            context = [",".join(map(str, c)) for c in zip(*(p.tolist() for p in places_of))]
+            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array((found & 255).astype(np.int32)), pa.array((found >> 8 & 255).astype(np.int32)), pa.array(n, pa.int64())], names=["context", "bucket", "symbol", "n"])
+
+    if not 1 <= k <= 5 or not 1 <= buckets <= 256:
+        raise ValueError("a context has 1 to 5 symbols, a read 1 to 256 parts")
+    parts = by_block(reads, column).mapInArrow(scan, "context string, bucket int, symbol int, n bigint")
+    return parts.groupBy("context", "bucket", "symbol").agg(F.sum("n").alias("n"))

@@ -123,6 +123,16 @@ def quality_context_counts(reads: DataFrame, k: int = 1, buckets: int = 8) -> Da
     return B.context_counts(reads, "quality", k, buckets).select(F.substring("gram", 1, k).alias("context"), "bucket", F.substring("gram", k + 1, 1).alias("symbol"), "n")
 
 
+def base_model_counts(reads: DataFrame, k: int = 3) -> DataFrame:
+    """context, symbol, n: as base coders see it, contexts go on from read to read within a block. Symbols are bytes of the bases."""
+    return B.model_counts(reads, "sequence", 0, k, 1, False).drop("bucket")
+
+
+def quality_model_counts(reads: DataFrame, offset: int = 33, k: int = 3, buckets: int = 8) -> DataFrame:
+    """context, bucket, symbol, n: as quality coders see it, with means from the middle of the context on."""
+    return B.model_counts(reads, "quality", offset, k, buckets, True)
+
+
 def stream_sizes(reads: DataFrame) -> DataFrame:
     """Bytes of the three streams by block and, with a null block, in all."""
     tag = F.length(F.concat(F.lit("@"), "name")) + F.when(F.length("comment") > 0, F.length("comment") + 1).otherwise(0)

@@ -354,6 +354,22 @@ def quality_context_counts(spark, sf_dir):
     return S.quality_context_counts(D.reads(spark, sf_dir), 1, 8)
 
 
+LAST = "coalesce(lag({x}, {i}) OVER (PARTITION BY block_id ORDER BY read_id, pos), 0)"
+BACK = ", ".join(LAST.format(x="q", i=i) + f" AS p{i}" for i in range(1, 5))
+
+
+@query(f"""WITH {BASES}, c AS (SELECT concat_ws(',', {", ".join(LAST.format(x="unicode(base)", i=i) for i in range(1, 4))}) AS context, unicode(base)::INT AS symbol FROM bases)
+    SELECT context, symbol, count(*)::BIGINT AS n FROM c GROUP BY ALL""")
+def base_model_counts(spark, sf_dir):
+    return S.base_model_counts(D.reads(spark, sf_dir), 3)
+
+
+@query(f"""WITH {BASES}, c AS (SELECT q, pos, count(*) OVER (PARTITION BY read_id) AS size, {BACK} FROM bases)
+    SELECT concat_ws(',', p1, (p2 + p3) // 2, (p3 + p4) // 2) AS context, (pos * 8 // size)::INT AS bucket, q AS symbol, count(*)::BIGINT AS n FROM c GROUP BY ALL""")
+def quality_model_counts(spark, sf_dir):
+    return S.quality_model_counts(D.reads(spark, sf_dir), D.OFFSET, 3, 8)
+
+
 @query(f"""WITH {READS} SELECT block_id, sum(length('@' || name || ' ' || comment))::BIGINT AS tag, sum(length(sequence))::BIGINT AS dna, sum(length(quality))::BIGINT AS quality
     FROM reads GROUP BY ROLLUP (block_id)""")
 def stream_sizes(spark, sf_dir):

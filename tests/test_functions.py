@@ -147,6 +147,27 @@ def test_runs_over_slices(reads, size):
     assert got == want
 
 
+def test_contexts_are_those_of_the_coder(spark):
+    """The counts by context equal those that the codec's own contexts see."""
+    from collections import Counter
+
+    from readloom.codec.models import QualityContext
+
+    rng = __import__("random").Random(1)
+    rows = [(b, i, "".join(chr(33 + rng.randrange(16)) for _ in range(rng.choice([0, 1, 5, 30])))) for b in range(3) for i in range(8)]
+    for k in (1, 2, 3, 4):
+        got = B.model_counts(spark.createDataFrame(rows, "block_id long, read_id long, quality string"), "quality", 33, k, 8, True).collect()
+        want = Counter()
+        for b in range(3):
+            context = QualityContext(16, k)
+            for _, _, q in (r for r in rows if r[0] == b):
+                for j, c in enumerate(q):
+                    digits = ",".join(str(context.now >> 4 * i & 15) for i in range(k))
+                    want[digits, j * 8 // len(q), ord(c) - 33] += 1
+                    context.saw(ord(c) - 33)
+        assert {(r["context"], r["bucket"], r["symbol"]): r["n"] for r in got} == want
+
+
 def test_numeric_schemes(spark):
     def scheme(values):
         rows = spark.createDataFrame([(i, 0, 1, v) for i, v in enumerate(values)], "read_id long, block_id long, field_no int, value long")
