@@ -315,7 +315,9 @@ def run_expand(spark, sf_dir):
 
 @query("WITH " + island_sql("er", "events", "event_type", "user_id", "event_id", None) + " SELECT user_id, run, part, event_type, length FROM er")
 def event_runs(spark, sf_dir):
-    return R.runs(D.table(spark, sf_dir, "events"), "event_type", ["user_id"], ["event_id"]).select("user_id", "run", "part", "event_type", "length")
+    # One user may have a large share of the events, so a user's events are cut by their ids.
+    chunk = F.floor(F.col("event_id") / 65536)
+    return R.runs_by_chunk(D.table(spark, sf_dir, "events"), "event_type", ["user_id"], ["event_id"], chunk).select("user_id", "run", "part", "event_type", "length")
 
 
 #: Colours one by one: the state before position i is the last base up to there that isn't N.

@@ -147,6 +147,14 @@ def test_runs_over_slices(reads, size):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_runs_by_chunk(spark, size):
+    rng = __import__("random").Random(size)
+    rows = spark.createDataFrame([(i % 3 if i % 5 else 0, i, rng.choice(["a", "a", "b", None])) for i in range(200)], "u int, i long, v string")
+    got = R.runs_by_chunk(rows, "v", ["u"], ["i"], F.floor(F.col("i") / size))
+    assert sorted(map(str, got.select("u", "run", "part", "v", "length").collect())) == sorted(map(str, R.runs(rows, "v", ["u"], ["i"]).select("u", "run", "part", "v", "length").collect()))
+
+
 def test_contexts_are_those_of_the_coder(spark):
     """The counts by context equal those that the codec's own contexts see."""
     from collections import Counter
