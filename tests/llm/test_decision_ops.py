@@ -205,6 +205,14 @@ def test_quality_statistics(spark, odd_texts, docs):
     assert quality.judge(docs.where("false"), labels).count() == 0
 
 
+def test_repeated_ids_choose_the_same_steps(spark):
+    rng = random.Random(9)
+    texts = [(i // 2, " ".join(("##" if rng.random() < (0.5 if i % 20 == 0 else 0.0) else "") + x for x in words(rng, 30).split())) for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    a, b = (Counter(map(str, quality.judge(frame(spark, x), labels).collect())) for x in (texts, texts[::-1]))
+    assert a == b and any("symbols_per_word" in x for x in a)
+
+
 def test_cutoffs_are_safe(spark):
     rng = random.Random(8)
     texts = [(i, " ".join(("##" if rng.random() < (0.3 if i % 10 == 0 else 0.001) else "") + x for x in words(rng, 40).split())) for i in range(6000)]

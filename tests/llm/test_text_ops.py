@@ -319,3 +319,30 @@ def test_packing(spark, odd_texts, docs):
     assert [lengths[d] for d in (70, 74, 76)] == [9, 5, 6]  # a special token's literal is one id
     # Each row counts for itself, repeated ids included.
     assert packing.pack_documents(docs).agg(F.sum((F.col("start") == 0).cast("int"))).first()[0] == len(odd_texts)
+
+
+def test_long_texts(spark):
+    """A text of 1.5 MB in one line, a near copy of it, and one of as many lines as words, through each operator on texts."""
+    from readloom.llm import decontam, quality, sharding, toxicity
+
+    rng = random.Random(51)
+    vocabulary = [words(rng, 1) for _ in range(5000)]
+    long = [rng.choice(vocabulary) for _ in range(280_000)]
+    near = list(long)
+    near[1000] = "changed"
+    item = words(rng, 25)
+    texts = [(1, " ".join(long)), (2, " ".join(near)), (3, "\n".join(long) + "\n" + item), (4, words(rng, 50))]
+    docs = frame(spark, texts)
+    assert all(len(t) > 1_200_000 for _, t in texts[:3])
+    got = {tuple(r)[:2] for r in decontam.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {(3, 7)}
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    assert toxicity.score_documents(docs, labels).count() == 4
+    cache = packing.WordCache(packing.tokenizer_path())
+    pieces = packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in pieces} == {i: len(cache.encode(t)) // 4 + 1 for i, t in texts}
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(docs, labels).collect()} == {i: len(t.split()) for i, t in texts}
+    assert {r["doc_id"]: r["n_lines"] for r in linededup.keep_bitmaps(docs).collect()} == {i: t.count("\n") + 1 for i, t in texts}
+    classes = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert classes == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert sharding.assign(docs).agg(F.sum("size")).first()[0] == sum(len(t) + 16 for _, t in texts)
