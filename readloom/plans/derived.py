@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that aren't empty. A table of fewer files than cores is dealt out, as a file may be a single row group."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return docs.repartition("doc_id") if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism else docs
+
+
 def block_of(read_id: Column, size: int) -> Column:
     return F.floor(read_id / size).cast("bigint")
 
@@ -31,7 +37,7 @@ def spelled(text: Column, letters: str) -> Column:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, block_id, name, comment, sequence, quality: one read for each document that isn't empty."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = documents(spark, sf_dir)
     return docs.select(
         F.col("doc_id").alias("read_id"),
         block_of(F.col("doc_id"), READS_PER_BLOCK).alias("block_id"),
@@ -44,7 +50,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, block_id, pos, base, q: one row for each character of each document, straight from the text."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = documents(spark, sf_dir)
     one = docs.select(F.col("doc_id").alias("read_id"), block_of(F.col("doc_id"), READS_PER_BLOCK).alias("block_id"), F.posexplode(chars(F.col("text"))).alias("pos", "c"))
     code = F.ascii("c")
     letters = F.array(*[F.lit(b) for b in BASES])

@@ -448,7 +448,7 @@ def fastq_roundtrip(spark, sf_dir):
 
     path = f"{scratch(spark)}/fastq-{uuid.uuid4().hex}"
     write_fastq(D.reads(spark, sf_dir), path)
-    return with_read_ids(read_fastq(spark, path.removeprefix("file://"), "FAILFAST", 1 << 20)).select("read_id", "name", "comment", "sequence", "quality")
+    return with_read_ids(read_fastq(spark, path.removeprefix("file://"), "FAILFAST", 1 << 18)).select("read_id", "name", "comment", "sequence", "quality")
 
 
 @query(SAME_READS.replace("row_number() OVER (ORDER BY read_id) - 1 AS read_id", "read_id"))
