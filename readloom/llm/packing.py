@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from readloom.llm.common import col_of, slices, staged
+from readloom.llm.common import col_of, give_back, slices, staged
 
 CAPACITY, SEPARATOR = 1024, 2
 PIECES = "doc_id long, row_hash long, piece int, start long, length long, ids_le binary"
@@ -200,6 +200,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separat
             out += [(doc, row, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+    cache.clear()
+    del cache
+    give_back()  # slices() has done so, too, but with the cache still there
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
